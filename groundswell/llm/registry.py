@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_rules, secrets, warc
 
-MODULES = [quality_rules]
+MODULES = [secrets, quality_rules, warc, mixing]
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
