@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality_rules, secrets, warc
+from . import mixing, near_dedup, packing, quality_rules, secrets, warc
 
-MODULES = [packing, secrets, quality_rules, warc, mixing]
+MODULES = [packing, secrets, near_dedup, quality_rules, warc, mixing]
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
