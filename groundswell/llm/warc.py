@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import scratch_path, table
+from .common import scratch_path, stored, table
 
 CRLF = "\r\n"
 LEAST_REVISIT = 100
@@ -52,11 +52,13 @@ def captures(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with payload, digest, occurrence among equal rows, and, for revisits, the page revisited."""
     full = pages.select("page_id", F.regexp_replace("url", r"\p{Cntrl}", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     full = full.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "bytes": F.octet_length("html").cast("long")})
-    light = full.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    # One key for window and join, so that payloads are dealt once; it tells a null id from any number.
+    full = full.withColumn("key", F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest"))
+    light = full.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest", "page_id", "key").agg(F.count(F.lit(1)).alias("n"))
     firsts = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("all")).where("all > 1").select("digest", "first")
-    seen = light.join(firsts, "digest").select(F.col("digest").alias("__d"), F.col("page_id").alias("__p"), "first", F.lit(True).alias("repeated"))
-    full = full.withColumn("occurrence", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
-    met = full.join(seen, F.col("page_id").eqNullSafe(F.col("__p")) & (F.col("digest") == F.col("__d")), "left").drop("__d", "__p")
+    seen = light.join(firsts, "digest").select("key", "first", F.lit(True).alias("repeated"))
+    full = full.withColumn("occurrence", F.row_number().over(Window.partitionBy("key").orderBy("url")))
+    met = full.join(seen, "key", "left").drop("key")
     return met.withColumn("revisit", F.coalesce(F.col("repeated"), F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("occurrence") == 1))).drop("repeated")
 
 
@@ -139,7 +141,7 @@ def assembled(records: DataFrame) -> DataFrame:
 
 def resolved(transactions: DataFrame) -> DataFrame:
     """Captures with the size and digest of the full payload, which a revisit gets from the response it refers to."""
-    flat = transactions.select("capture_id", F.col("capture.warc_type").alias("record_type"), F.col("capture.refers_to_id").alias("to_id"), F.col("metadata.page_id").alias("page_id"), F.col("capture.payload_bytes").alias("bytes"), F.col("capture.payload_digest").alias("digest"))
+    flat = stored(transactions.select("capture_id", F.col("capture.warc_type").alias("record_type"), F.col("capture.refers_to_id").alias("to_id"), F.col("metadata.page_id").alias("page_id"), F.col("capture.payload_bytes").alias("bytes"), F.col("capture.payload_digest").alias("digest")), "captures")
     responses = flat.where("record_type = 'response'").select(F.col("capture_id").alias("__id"), F.col("page_id").alias("__page"), F.col("bytes").alias("__bytes"), F.col("digest").alias("__digest"))
     met = flat.where("record_type = 'revisit'").join(responses, F.col("to_id") == F.col("__id"), "left")
     revisits = met.select("page_id", F.col("__bytes").alias("payload_bytes"), F.col("__digest").alias("payload_digest"), "record_type", F.col("__page").alias("refers_to"))
