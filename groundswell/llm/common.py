@@ -47,17 +47,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def map_batches(df: DataFrame, work: Callable[[dict[str, list]], dict[str, object]], schema: str) -> DataFrame:
-    """work gets each Arrow batch as lists by column and returns the output columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = work({n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns, strict=True)})
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in out], schema=out)
-
-    return df.mapInArrow(run, schema)
+def parts(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
+    """The texts of a column in lists of some megabytes at most, a longer text alone, so that work on words stays small."""
+    held, size = [], 0
+    for value in texts:
+        text = value.as_py()
+        held.append(text)
+        size += len(text or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
