@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dedup, packing, quality_model, quality_rules, secrets, token_counts, toxicity, warc
+from . import mixing, near_dedup, neighbours, packing, quality_model, quality_rules, secrets, token_counts, toxicity, warc
 
-MODULES = [packing, secrets, near_dedup, token_counts, toxicity, quality_model, quality_rules, warc, mixing]
+MODULES = [packing, secrets, near_dedup, token_counts, toxicity, neighbours, quality_model, quality_rules, warc, mixing]
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
