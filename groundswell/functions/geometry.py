@@ -96,16 +96,14 @@ def rpy(r: Sequence[Column]) -> tuple[Column, Column, Column]:
 
 
 def slerped(qa: Sequence[Column], qb: Sequence[Column], t: Column) -> list[Column]:
-    """Quaternions (x, y, z, w) interpolated along the shorter arc; linear where they almost agree."""
+    """Unit quaternions (x, y, z, w) interpolated along the shorter arc; linear where they almost agree."""
     dot = sum((a * b for a, b in zip(qa, qb, strict=True)), F.lit(0.0))
     sign, cos = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0)), F.least(F.abs(dot), F.lit(1.0))
     angle = F.acos(cos)
     flat = cos > 1 - 1e-10
     wa = F.when(flat, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * angle), F.sin(angle)))
     wb = F.when(flat, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle))) * sign
-    mixed = [wa * a + wb * b for a, b in zip(qa, qb, strict=True)]
-    norm = F.sqrt(sum((m * m for m in mixed), F.lit(0.0)))
-    return [F.try_divide(m, norm) for m in mixed]
+    return [wa * a + wb * b for a, b in zip(qa, qb, strict=True)]
 
 
 def rotation_of(q: Sequence[Column]) -> list[Column]:

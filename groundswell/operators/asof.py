@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geometry import XYZ, rotated, rotation_of, slerped
+from ..functions.geometry import XYZ, rotation_of, slerped
 
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
@@ -89,8 +89,9 @@ def deskewed(points: DataFrame, start: list[Column], end: list[Column], mode: st
     """Points as if all were measured at the sweep's end: each moves by end^-1 * pose(alpha). Poses: tx, ty, tz, qx, qy, qz, qw."""
     share = sweep_share(points, mode, **options)
     alpha = F.col("alpha")
-    q = slerped(start[3:], end[3:], alpha)
-    r = rotation_of(q)
+    names = ("__qx", "__qy", "__qz", "__qw")
+    share = share.withColumns(dict(zip(names, slerped(start[3:], end[3:], alpha), strict=True)))
+    r = rotation_of([F.col(n) for n in names])
     v = [F.col(c) for c in XYZ]
     world = [r[3 * i] * v[0] + r[3 * i + 1] * v[1] + r[3 * i + 2] * v[2] + start[i] + alpha * (end[i] - start[i]) - end[i] for i in range(3)]
     back = rotation_of(end[3:])
@@ -99,7 +100,7 @@ def deskewed(points: DataFrame, start: list[Column], end: list[Column], mode: st
     if {"nx", "ny", "nz"} <= set(points.columns):
         n = [F.col(c) for c in ("nx", "ny", "nz")]
         out |= dict(zip(("nx", "ny", "nz"), into([r[3 * i] * n[0] + r[3 * i + 1] * n[1] + r[3 * i + 2] * n[2] for i in range(3)]), strict=True))
-    return share.withColumns(out).drop("alpha")
+    return share.withColumns(out).drop("alpha", *names)
 
 
-__all__ = ["POSE", "deskewed", "lookup", "moved", "poses_at", "rotated", "sweep_share", "trajectory_stats"]
+__all__ = ["POSE", "deskewed", "lookup", "moved", "poses_at", "sweep_share", "trajectory_stats"]
