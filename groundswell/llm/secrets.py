@@ -177,7 +177,8 @@ def listed(spans: Column) -> Column:
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, every = F.col("base_spans"), F.sort_array(F.concat("base_spans", "random_spans"))
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
