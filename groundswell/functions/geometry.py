@@ -203,6 +203,7 @@ class Grid:
     resolution: float
     centre_x: float = 0.0
     centre_y: float = 0.0
+    unbounded: bool = False  # the rectangle is only an origin: cells go on beyond it
 
     @property
     def rows(self) -> int:
@@ -227,7 +228,7 @@ class Grid:
         return F.floor((F.lit(self.top_y) - y) / F.lit(self.resolution)).cast("long")
 
     def holds(self, row: Column, col: Column) -> Column:
-        return row.between(0, self.rows - 1) & col.between(0, self.cols - 1)
+        return F.lit(True) if self.unbounded else row.between(0, self.rows - 1) & col.between(0, self.cols - 1)
 
     def x_of(self, row: Column) -> Column:
         return F.lit(self.top_x - self.resolution / 2) - row * F.lit(self.resolution)

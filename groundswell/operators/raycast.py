@@ -34,7 +34,7 @@ def walked(start: np.ndarray, end: np.ndarray, grid: Grid) -> tuple[np.ndarray,
         if not len(live):
             break
         leave = following[live].min(1)
-        inside = (at[live] >= 0).all(1) & (at[live, 0] < grid.rows) & (at[live, 1] < grid.cols)
+        inside = np.full(len(live), True) if grid.unbounded else (at[live] >= 0).all(1) & (at[live, 0] < grid.rows) & (at[live, 1] < grid.cols)
         kept = live[inside]
         out.append((kept, at[kept, 0], at[kept, 1], start[kept, 2] + np.minimum(leave[inside], 1.0) * rise[kept]))
         live = live[leave < 1]

@@ -62,7 +62,7 @@ class Mapper:
 
     @property
     def grid(self) -> Grid:
-        return Grid(self.config.length_x, self.config.length_y, self.config.resolution)
+        return Grid(self.config.length_x, self.config.length_y, self.config.resolution, unbounded=self.config.mode == "local" and self.poses is not None)
 
     def preprocessed(self, points: DataFrame) -> DataFrame:
         """Points in the map frame with czz, after the filters in the base frame. Scans without extrinsic or pose are left out."""
@@ -106,13 +106,17 @@ class Mapper:
 
     def windowed(self, cells: DataFrame, prepared: DataFrame) -> DataFrame:
         """For a local map of the configured size around the robot: cells inside their scan's window, with reset where
-        a window in between has left the cell. A window moves by whole cells. One row a scan says where windows are."""
+        a window in between has left the cell, and a row without measurement after the last scan, with reset where a
+        window since has left it. A window moves by whole cells. One row a scan says where windows are."""
         res = self.config.resolution
         half_r, half_c = round(self.config.length_x / res) // 2, round(self.config.length_y / res) // 2
-        at = prepared.groupBy("scan_id").agg((-F.round(F.first("wx") / res)).cast("long").alias("wr"), (-F.round(F.first("wy") / res)).cast("long").alias("wc"))
+        mid_r, mid_c = self.grid.rows // 2, self.grid.cols // 2
+        at = prepared.groupBy(F.col("scan_id").cast("long").alias("scan_id")).agg((mid_r - F.round(F.first("wx") / res)).cast("long").alias("wr"), (mid_c - F.round(F.first("wy") / res)).cast("long").alias("wc"))
         at = at.withColumn("nth", F.row_number().over(Window.orderBy("scan_id")))  # a row for each scan
         inside = (F.col("row") - F.col("wr")).between(-half_r, half_r - 1) & (F.col("col") - F.col("wc")).between(-half_c, half_c - 1)
-        met = cells.join(at, "scan_id").where(inside)
+        met = cells.withColumn("scan_id", F.col("scan_id").cast("long")).join(at, "scan_id").where(inside).select(*cells.columns, "nth")
+        end = at.agg((F.max("scan_id") + 1).alias("scan_id"), (F.max("nth") + 1).alias("nth"))  # one row: after the last scan
+        met = met.unionByName(met.select(*CELL).distinct().join(F.broadcast(end)), allowMissingColumns=True)
         met = met.withColumn("first", F.lag("nth").over(Window.partitionBy(*CELL).orderBy("nth")) + 1).withColumn("between", F.col("nth") - F.col("first"))
         # The windows in between are bounded by those of two runs of scans, each a power of two long, that cover them.
         spans = window_spans(at)
