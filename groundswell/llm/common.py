@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.tables import shared_dir, stored
+
 #: Characters that end a word, as a regular expression.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -17,26 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="groundswell-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and lost executors lose none of it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text (maximal runs without white space); none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
@@ -59,3 +44,6 @@ def parts(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
             held, size = [], 0
     if held:
         yield held
+
+
+__all__ = ["SPACES", "let", "parts", "scratch_path", "shared_dir", "stored", "table", "words_of"]

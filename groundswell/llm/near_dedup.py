@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.graph import components
 from .common import stored, table
 
 SEED = 42
@@ -220,25 +221,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
     return out.distinct()
 
 
-# --- components -------------------------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for the nodes of edges (a, b): large-star and small-star steps in turn until nothing changes."""
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(most):
-        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = stored(small, "edges")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+# --- components --------------------------------------------------------------------------------------------------
 
 
 def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
