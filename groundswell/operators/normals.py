@@ -32,3 +32,12 @@ def with_normals(points: DataFrame, k: int | None = 20, radius: float | None = N
     if covariances:
         out = out.withColumns({f"c{a}{b}": F.lit(1.0 if a == b else 0.0) - (1 - EPSILON) * F.col(f"n{a}") * F.col(f"n{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")})
     return out.drop("ax", "ay", "az")
+
+
+def mended_covariances(points: DataFrame) -> DataFrame:
+    """Points whose covariances are regularised ahead of registration: any that is not finite becomes epsilon times I."""
+    names = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+    sound = F.lit(True)
+    for n in names:
+        sound = sound & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < float("inf"))
+    return points.withColumns({n: F.when(sound, F.col(n)).otherwise(F.lit(EPSILON if n[1] == n[2] else 0.0)) for n in names})

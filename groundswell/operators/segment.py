@@ -117,3 +117,9 @@ def cluster_labels(points: DataFrame, clusters: DataFrame, semantic: int) -> Dat
     """points with label: the semantic class above 16 bits of the cluster's number, from 1; 0 below for noise."""
     met = points.drop("label").join(clusters, "point_id", "left")
     return met.withColumn("label", (F.lit(semantic << 16) + F.coalesce(F.col("cluster_id") + 1, F.lit(0))).cast("long")).drop("cluster_id")
+
+
+def cluster_boxes(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Each cluster's size, bounding box and centroid."""
+    bounds = [f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max), ("mean", F.avg)) for c in "xyz"]
+    return points.join(clusters, "point_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), *bounds)

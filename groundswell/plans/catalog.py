@@ -466,6 +466,44 @@ def cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.cluster_labels(v, segment.euclidean_clusters(v, 0.4, 3), 7).select("point_id", "label")
 
 
+BOXES_SQL = ", ".join(f"round({f}({c}), 6) AS {n}_{c}" for n, f in (("min", "min"), ("max", "max"), ("mean", "avg")) for c in "xyz")
+
+
+@query("cluster_boxes", f"{CLUSTERS_SQL} SELECT cluster_id, count(*) AS n, {BOXES_SQL} FROM c JOIN s USING (root) JOIN v ON v.point_id = c.point_id GROUP BY cluster_id")
+def cluster_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.vectors(spark, sf_dir)
+    return rounded(segment.cluster_boxes(v, segment.euclidean_clusters(v, 0.4, 3)))
+
+
+@query("voxel_lookup", f"""WITH p AS (SELECT *, {', '.join(f'CAST(floor({c} * (1.0 / 2.0)) AS BIGINT) AS v{c}' for c in 'xyz')} FROM ({POINTS_SQL})), m AS (SELECT vx, vy, vz, count(*) AS n, avg(z) AS mz FROM p GROUP BY vx, vy, vz)
+SELECT point_id, n AS v_n, round(mz, 6) AS v_mz FROM p JOIN m USING (vx, vy, vz)""")
+def voxel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.points(spark, sf_dir)
+    return rounded(spatial.voxel_lookup(p, vox.voxel_distributions(p, 2.0), 2.0).select("point_id", "v_n", "v_mz"))
+
+
+@query("map_upsert", f"""WITH f AS ({FACTS_SQL}), a AS (SELECT "row", "col", min_z FROM f WHERE scan_id = 3), b AS (SELECT "row", "col", min_z FROM f WHERE scan_id = 4)
+SELECT coalesce(b."row", a."row") AS "row", coalesce(b."col", a."col") AS "col", round(coalesce(b.min_z, a.min_z), 6) AS min_z FROM a FULL JOIN b ON a."row" = b."row" AND a."col" = b."col" """)
+def map_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = facts(spark, sf_dir).select("scan_id", "row", "col", "min_z")
+    return rounded(spatial.upserted(f.where("scan_id = 3"), f.where("scan_id = 4"), ["min_z"]))
+
+
+@query("elevation_at", f'SELECT "row", "col", round(elevation, 6) AS elevation FROM ({MAP_SQL}) WHERE "row" = 40 AND "col" = 44')
+def elevation_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(raster.elevation_at(terrain(spark, sf_dir), GRID, 4.9, 2.9))
+
+
+@query("layer_snapshot", f'SELECT "row", "col", round(elevation, 6) AS elevation, round(variance, 6) AS variance FROM ({MAP_SQL})')
+def layer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(raster.snapshot(terrain(spark, sf_dir), ["elevation", "variance"]))
+
+
+@query("cloud_message", f'SELECT 24.75 - "row" * 0.5 AS x, 24.75 - "col" * 0.5 AS y, round(elevation, 6) AS z, n_points FROM ({MAP_SQL})')
+def cloud_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(maps.cloud_message(terrain(spark, sf_dir), GRID).select("x", "y", "z", "n_points"))
+
+
 # --- rays, poses, registration, maps ----------------------------------------------------------------------------------
 
 
