@@ -21,6 +21,7 @@ from ..operators.filters import point_filter
 from ..operators.raster import CELL, latest_layers, obstacle, rasterized, running_bounds
 from ..operators.raycast import evidence
 from .config import Mapping, PointFilter, Postprocess, Raycasting
+from .tables import stored
 
 Observer = Callable[[DataFrame], None]
 
@@ -112,7 +113,7 @@ class Mapper:
         half_r, half_c = round(self.config.length_x / res) // 2, round(self.config.length_y / res) // 2
         mid_r, mid_c = self.grid.rows // 2, self.grid.cols // 2
         at = prepared.groupBy(F.col("scan_id").cast("long").alias("scan_id")).agg((mid_r - F.round(F.first("wx") / res)).cast("long").alias("wr"), (mid_c - F.round(F.first("wy") / res)).cast("long").alias("wc"))
-        at = at.withColumn("nth", F.row_number().over(Window.orderBy("scan_id")))  # a row for each scan
+        at = stored(at.withColumn("nth", F.row_number().over(Window.orderBy("scan_id"))), "windows")  # a row for each scan
         inside = (F.col("row") - F.col("wr")).between(-half_r, half_r - 1) & (F.col("col") - F.col("wc")).between(-half_c, half_c - 1)
         met = cells.withColumn("scan_id", F.col("scan_id").cast("long")).join(at, "scan_id").where(inside).select(*cells.columns, "nth")
         end = at.agg((F.max("scan_id") + 1).alias("scan_id"), (F.max("nth") + 1).alias("nth"))  # one row: after the last scan
@@ -159,7 +160,7 @@ def window_spans(at: DataFrame, most: int = 40) -> DataFrame:
         half = 1 << (power - 1)
         right = now.select((F.col("nth") - half).alias("nth"), *[F.col(c).alias(f"{c}_") for c in ("lo_r", "hi_r", "lo_c", "hi_c")])
         joined = now.join(right, "nth")
-        now = joined.select(F.lit(power).alias("power"), "nth", *[(F.least if c.startswith("lo") else F.greatest)(c, f"{c}_").alias(c) for c in ("lo_r", "hi_r", "lo_c", "hi_c")])
+        now = stored(joined.select(F.lit(power).alias("power"), "nth", *[(F.least if c.startswith("lo") else F.greatest)(c, f"{c}_").alias(c) for c in ("lo_r", "hi_r", "lo_c", "hi_c")]), "spans")  # else each level would plan the one before twice
         out = out.union(now)
     return out
 
