@@ -11,7 +11,11 @@ on at least two of four 16-bit blocks, hence six shards each. A shard above a fi
 three parts of the bits that are still free, twice at most; what is left then is bounded by 2**14 fingerprints.
 
 `near_duplicates` (5-word shingles, Jaccard 0.8) shards by bands of min-hashes, searches fingerprints in a wide radius
-and decides by similarity: min-hash signatures settle clear cases, exact shingle sets the others.
+and decides by similarity: min-hash signatures settle clear cases, exact shingle sets the others. A shard above a fixed
+size is split at random, each band in its own way, which joins what is much alike. Of such a shard only the members
+outside its largest component are left to compare: where they are few they meet all of the shard in blocks; where they
+are many the shard is dealt again by further min-hashes, and after the last of those they meet in blocks too. No size
+of a shard drops a member; being dealt again costs a pair as much recall as the first bands do.
 
 Defined results: a null text is an empty one, with fingerprint zero. Documents with a null id take part through
 others' ids only: their component is the smallest id linked, or null. Repeated rows are exact copies.
@@ -34,6 +38,7 @@ RADIUS = 2
 SHARD = 1024
 BANDS, ROWS = 8, 3
 SIGNATURE = 128
+LEVELS = 5  # of bands, each of min-hashes of its own
 WIDE = 20
 SIMILARITY = 0.8
 SURE, POSSIBLE = 0.88, 0.70
@@ -83,8 +88,8 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def add(self, value: int, radius: int) -> list[tuple[int, int]]:
-        """(index, distance) of those within the radius that were added before; then adds value."""
+    def near(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """(index, distance) of those within the radius."""
         found = []
         values, children = self.values, self.children
         stack = [0] if values else []
@@ -98,7 +103,10 @@ class BKTree:
                 stack += [j for e, j in edges.items() if d - radius <= e <= d + radius]
             else:
                 stack += [edges[e] for e in range(max(0, d - radius), d + radius + 1) if e in edges]
-        at = 0
+        return found
+
+    def put(self, value: int) -> None:
+        values, children, at = self.values, self.children, 0
         while values:
             d = (value ^ values[at]).bit_count()
             if d not in children[at]:
@@ -107,6 +115,11 @@ class BKTree:
             at = children[at][d]
         values.append(value)
         children.append({})
+
+    def add(self, value: int, radius: int) -> list[tuple[int, int]]:
+        """near, of those that were added before; then puts value."""
+        found = self.near(value, radius)
+        self.put(value)
         return found
 
 
@@ -271,31 +284,62 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, sig binary")
 
 
-def similar_links(nodes: DataFrame, shard: int = SHARD) -> DataFrame:
-    """a, b, likeness of links that span each shard, likest first. Shards that exceed the size run in parts; each part
-    begins with one member of each component so far."""
+LINKS = "a long, b long, likeness double"
+
+
+def spanning(fp: np.ndarray, node: np.ndarray, sig: np.ndarray, known: int = 0) -> pa.RecordBatch:
+    """Links that may be similar enough, likest first, spanning what they connect. The first `known` rows are only searched for."""
+    tree, pairs = BKTree(), []
+    for i, value in enumerate(fp.astype(np.uint64).tolist()):
+        if i >= known and (near := [j for j, _ in tree.near(value, WIDE) if node[j] != node[i]]):
+            alike = (sig[near] == sig[i]).mean(1)
+            pairs += [(-a, i, j) for a, j in zip(alike.tolist(), near, strict=True) if a >= POSSIBLE]
+        tree.put(value)
+    union = Union(len(fp))
+    out = [(node[i], node[j], -a) for a, i, j in sorted(pairs) if union.join(i, j)]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+
+
+def crowds(rows: DataFrame, shard: int) -> DataFrame:
+    """Keys of rows that more than shard rows have, and how many parts they need."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") > shard).select("key", F.ceil(F.col("n") / shard).alias("parts"))
+
+
+def shard_links(rows: DataFrame, shard: int) -> DataFrame:
+    """a, b, likeness within shards: rows (key, fp, node, sig) of one key, or of one random part of a crowded key."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for (_, fp, node, sig), first, end in groups(batches, 1, shard):
-            if not first and kept is not None:
-                fp, node, sig = (np.concatenate(x) for x in zip(kept, (fp, node, sig), strict=True))
-            tree, pairs = BKTree(), []
-            for i, value in enumerate(fp.astype(np.uint64).tolist()):
-                near = [j for j, _ in tree.add(value, WIDE)]
-                if near:
-                    alike = (sig[near] == sig[i]).mean(1)
-                    pairs += [(-a, i, j) for a, j in zip(alike.tolist(), near, strict=True) if a >= POSSIBLE]
-            union = Union(len(fp))
-            spanning = [(node[i], node[j], -a) for a, i, j in sorted(pairs) if union.join(i, j)]
-            roots = [i for i in range(len(fp)) if union.root(i) == i]
-            kept = None if end else [fp[roots], node[roots], sig[roots]]
-            if spanning:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in spanning], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+        for (_, _, fp, node, sig), _, _ in groups(batches, 2, 16 * shard):
+            yield spanning(fp, node, sig)
 
-    rows = nodes.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "sig").select(F.xxhash64("band", "key").alias("key"), "fp", "node", "sig")
-    found = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(search, "a long, b long, likeness double")
-    return found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
+    part = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0).cast("long")).alias("part")
+    split = rows.join(crowds(rows, shard), "key", "left").select("key", part, "fp", "node", "sig")
+    return split.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(search, LINKS)
+
+
+def block_links(crowded: DataFrame, shard: int) -> DataFrame:
+    """a, b, likeness of crowded rows (key, fp, node, sig, n, outside: bool, others) that lie outside their key's largest
+    component, with all rows of the key: blocks of the ones meet blocks of the others."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _, asks, fp, node, sig), _, _ in groups(batches, 3, 32 * shard):
+            yield spanning(fp, node, sig, int((asks == 0).sum()))
+
+    blocks = lambda n: F.ceil(F.col(n) / shard)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    own = lambda n, salt: F.pmod(F.xxhash64("node", "key", F.lit(salt)), blocks(n))
+    rest = ["fp", "node", "sig"]
+    known = crowded.select("key", every("others").alias("p"), own("n", 1).alias("q"), F.lit(0).alias("asks"), *rest)
+    asking = crowded.where("outside").select("key", own("others", 2).alias("p"), every("n").alias("q"), F.lit(1).alias("asks"), *rest)
+    return known.union(asking).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "asks", "fp").mapInArrow(search, LINKS)
+
+
+def finer(rows: DataFrame, level: int) -> DataFrame:
+    """rows (key, fp, node, sig) under the bands of min-hashes that this level has to itself, each within its old key."""
+    first = level * BANDS * ROWS + 1
+    bands = F.array(*[F.xxhash64("key", F.lit(k), F.substring("sig", first + k * ROWS, ROWS)) for k in range(BANDS)])
+    return rows.select(F.explode(bands).alias("key"), "fp", "node", "sig")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -322,19 +366,49 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(judge, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id: exact copies of word sequences, and links of the similarity or more, joined."""
-    made = stored(sketches(docs.select("doc_id", "text"), words), "sketches")
-    first = F.min(F.struct("doc_id", "fp", "bands", "sig")).alias("s")
-    nodes = stored(made.where("doc_id IS NOT NULL").groupBy("copy").agg(first).select("copy", F.col("s.doc_id").alias("node"), "s.fp", "s.bands", "s.sig"), "nodes")
-    found = stored(similar_links(nodes), "similar")
+def accepted(candidates: DataFrame, links: DataFrame | None, docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """links and those of candidates (a, b, likeness) that are similar enough, and the components of all."""
+    found = stored(candidates.groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "similar")
     sure = found.where(F.col("likeness") >= SURE).select("a", "b")
+    sure = sure if links is None else links.union(sure)
     close = components(sure)
     unsure = found.where(F.col("likeness") < SURE)
     for end in ("a", "b"):  # only what joins different components is worth an exact look
         unsure = unsure.join(close.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    open_ = unsure.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    linked = components(sure.union(verified(stored(open_, "unsure"), docs, words, similarity)))
+    open_ = stored(unsure.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "unsure")
+    if open_.isEmpty():
+        return sure, close
+    every = sure.union(stored(verified(open_, docs, words, similarity), "verified"))
+    return every, components(every)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """doc_id, component_id: exact copies of word sequences, and links of the similarity or more, joined."""
+    made = stored(sketches(docs.select("doc_id", "text"), words), "sketches")
+    first = F.min(F.struct("doc_id", "fp", "bands", "sig")).alias("s")
+    nodes = stored(made.where("doc_id IS NOT NULL").groupBy("copy").agg(first).select("copy", F.col("s.doc_id").alias("node"), "s.fp", "s.bands", "s.sig"), "nodes")
+    rows = nodes.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "sig").select(F.xxhash64("band", "key").alias("key"), "fp", "node", "sig")
+    linked = None
+    for level in range(LEVELS):
+        links, linked = accepted(shard_links(rows, shard), None if linked is None else links, docs, words, similarity)
+        crowded = rows.join(crowds(rows, shard), "key").join(linked, "node", "left").select("key", "fp", "node", "sig", F.coalesce("component", "node").alias("component"))
+        crowded = stored(crowded, "crowded")
+        if crowded.isEmpty():
+            break
+        sizes = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+        sizes = sizes.select("key", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("largest")).where("others > 0")
+        sizes = stored(sizes, "crowds")
+        if sizes.isEmpty():
+            break
+        left = crowded.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest"))
+        last = level == LEVELS - 1
+        settle = left if last else left.where(F.col("others") <= shard)
+        links, linked = accepted(block_links(settle, shard), links, docs, words, similarity)
+        if last:
+            break
+        rows = stored(finer(left.where(F.col("others") > shard), level + 1), "finer")
+        if rows.isEmpty():
+            break
     named = nodes.join(linked, "node", "left").select(F.col("copy").alias("__copy"), F.coalesce("component", F.col("node")).alias("component_id"))
     return made.select("doc_id", "copy").join(named, F.col("copy") == F.col("__copy"), "left").select("doc_id", "component_id")
 

@@ -173,6 +173,32 @@ def test_near_duplicates_by_similarity(docs):
     assert {14, 15, 20, 30} <= set(kept)
 
 
+@pytest.mark.parametrize("shard", [1024, 12])
+def test_near_duplicates_against_brute_force(spark, shard):
+    """Families of near copies, one of them large, and many texts that share half of their words but are not alike."""
+    r = random.Random(8)
+    word = lambda: f"v{r.randrange(10**6)}"
+    shared, texts = [word() for _ in range(60)], []
+    for size in (60, 9, 4, 3):
+        base = [word() for _ in range(150)]
+        for k in range(size):
+            copy = list(base)
+            for at in r.sample(range(150), k % 4):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    texts += [" ".join([*shared, *(word() for _ in range(r.randrange(20, 60)))]) for _ in range(90)]
+    r.shuffle(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(rows, shard=shard).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    union = near_dedup.Union(len(texts))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                union.join(i, j)
+    assert got == {i: union.root(i) for i in range(len(texts))}
+
+
 def test_op4_counts_are_greedy(spark, folder):
     mark, pieces = token_counts.byte_level_pieces()
     held, most = set(pieces), max(map(len, pieces))
