@@ -178,7 +178,7 @@ def voxel_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vox.voxel_grid(views.points(spark, sf_dir), 0.5))
 
 
-@query("voxel_center", f"SELECT vx, vy, vz, min(point_id) AS point_id, count(*) AS n, (vx + 0.5) * 0.5 AS x, (vy + 0.5) * 0.5 AS y, (vz + 0.5) * 0.5 AS z, {MEANS_SQL} FROM ({VOXELLED_SQL}) GROUP BY vx, vy, vz")
+@query("voxel_center", f"SELECT vx, vy, vz, min(point_id) AS point_id, count(*) AS n, CAST((vx + 0.5) * 0.5 AS DOUBLE) AS x, CAST((vy + 0.5) * 0.5 AS DOUBLE) AS y, CAST((vz + 0.5) * 0.5 AS DOUBLE) AS z, {MEANS_SQL} FROM ({VOXELLED_SQL}) GROUP BY vx, vy, vz")
 def voxel_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vox.voxel_grid(views.points(spark, sf_dir).select("point_id", "x", "y", "z", "intensity", "t"), 0.5, "center"))
 
@@ -250,7 +250,7 @@ def intensity_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.latest_layers(facts(spark, sf_dir))
 
 
-@query("map_to_points", f'SELECT "row" * 100 + "col" AS point_id, 24.75 - "row" * 0.5 AS x, 24.75 - "col" * 0.5 AS y, round(elevation, 6) AS z, intensity, color FROM ({MAP_SQL})')
+@query("map_to_points", f'SELECT "row" * 100 + "col" AS point_id, CAST(24.75 - "row" * 0.5 AS DOUBLE) AS x, CAST(24.75 - "col" * 0.5 AS DOUBLE) AS y, round(elevation, 6) AS z, intensity, color FROM ({MAP_SQL})')
 def map_to_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.to_points(terrain(spark, sf_dir), GRID))
 
@@ -499,7 +499,7 @@ def layer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.snapshot(terrain(spark, sf_dir), ["elevation", "variance"]))
 
 
-@query("cloud_message", f'SELECT 24.75 - "row" * 0.5 AS x, 24.75 - "col" * 0.5 AS y, round(elevation, 6) AS z, n_points FROM ({MAP_SQL})')
+@query("cloud_message", f'SELECT CAST(24.75 - "row" * 0.5 AS DOUBLE) AS x, CAST(24.75 - "col" * 0.5 AS DOUBLE) AS y, round(elevation, 6) AS z, n_points FROM ({MAP_SQL})')
 def cloud_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(maps.cloud_message(terrain(spark, sf_dir), GRID).select("x", "y", "z", "n_points"))
 
