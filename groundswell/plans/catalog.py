@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,10 +13,12 @@ from ..functions.sensors import Constant, Lidar, Rgbd, with_covariance
 from ..functions.geometry import rotated_covariance
 from ..operators import asof, dem, estimate, filters, normals, raster, raycast, register, segment, spatial, stencil
 from ..operators import voxel as vox
-from ..sources import maps
+from ..sources import clouds, maps, trajectories
+from ..streaming.mapper import StreamingMapper, scans
 from . import views
-from .config import Mapping, PointFilter
-from .mapper import Mapper
+from .config import Mapping, PointFilter, Postprocess
+from .mapper import Mapper, postprocessed
+from .tables import shared_dir
 from .views import CELLED_SQL, FACTS_SQL, GRID, MAP_SQL, POINTS_SQL, SEEN_SQL, VECTORS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,7 +285,10 @@ def kalman_layers(cells: DataFrame) -> DataFrame:
     return estimate.layers(estimate.fold(cells)).drop("ghost_removal")
 
 
-@query("kalman_fold", _kalman_sql(f"""SELECT "row", "col", list({{'scan_id': scan_id, 'z': min_z}}) AS l FROM ({FACTS_SQL}) GROUP BY ALL""", '"row", "col"'))
+KALMAN_MAP_SQL = _kalman_sql(f"""SELECT "row", "col", list({{'scan_id': scan_id, 'z': min_z}}) AS l FROM ({FACTS_SQL}) GROUP BY ALL""", '"row", "col"')
+
+
+@query("kalman_fold", KALMAN_MAP_SQL)
 def kalman_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = facts(spark, sf_dir).select("scan_id", "row", "col", F.col("min_z").alias("z"), F.lit(0.0009).alias("variance"))
     return rounded(kalman_layers(cells))
@@ -602,4 +608,54 @@ def local_window_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir, "local")
 
 
+@query("postprocess_map")
+def postprocess_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion, inpainting and terrain features in the order of the node's post-processing."""
+    cells = terrain(spark, sf_dir).withColumnsRenamed({"elevation_min": "lower_bound", "elevation_max": "upper_bound"})
+    return rounded(postprocessed(cells, GRID, Postprocess()), 4)
+
+
+# --- files and streams ------------------------------------------------------------------------------------------------
+
+NUMBERED_SQL = f"SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_id, x, y, z, intensity, color FROM ({POINTS_SQL})"
+
+
+def _files_of(spark: SparkSession, sf_dir: str, kind: str, *channels: str) -> DataFrame:
+    """Each scan as the bytes of one file, named by the scan."""
+    made = clouds.encoded(views.points(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z", *channels), kind)
+    return made.select(F.col("scan_id").cast("string").alias("path"), "content")
+
+
+@query("pcd_round_trip", f"SELECT scan_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(intensity, 4) AS intensity, color FROM ({NUMBERED_SQL})")
+def pcd_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = clouds.decoded_pcd(_files_of(spark, sf_dir, "pcd", "intensity", "color"))
+    return rounded(back.select(F.col("file").cast("int").alias("scan_id"), "point_id", "x", "y", "z", "intensity", "color"), 4)
+
+
+@query("bin_round_trip", f"SELECT scan_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(intensity, 4) AS intensity FROM ({NUMBERED_SQL})")
+def bin_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = clouds.decoded_bin(_files_of(spark, sf_dir, "bin", "intensity"))
+    return rounded(back.select(F.col("file").cast("int").alias("scan_id"), "point_id", "x", "y", "z", "intensity"), 4)
+
+
+@query("tum_round_trip", "SELECT epoch_us(ts) AS micros, round(value / 10, 4) AS tx, round(sin(value / 1000), 4) AS qz FROM events")
+def tum_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tum-{uuid.uuid4().hex}"
+    trajectories.write_tum(views.trajectory(spark, sf_dir), path)
+    return rounded(trajectories.read_tum(spark, path).select(F.round(F.col("ts") * 1_000_000).cast("long").alias("micros"), "tx", "qz"), 4)
+
+
+@query("stream_map", KALMAN_MAP_SQL)
+def stream_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scans arrive five at a time as files, and a stream folds them into the map's states."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    arrived = views.seen(spark, sf_dir).withColumn("czz", F.lit(0.0009))
+    mapper = StreamingMapper(spark, GRID)
+    for first in range(0, 20, 5):
+        arrived.where(F.col("scan_id").between(first, first + 4)).write.mode("append").parquet(f"{folder}/in")
+        stream = scans(spark, f"{folder}/in", arrived.schema.simpleString()[7:-1].replace(":", " "), max_files=1 << 20)
+        mapper.start(stream, f"{folder}/offsets").awaitTermination()
+    return rounded(mapper.layers().drop("ghost_removal"))
+
+
 __all__ = ["ORACLES", "QUERIES", "Grid", "flagship"]

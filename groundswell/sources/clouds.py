@@ -40,7 +40,11 @@ def _arrow(columns: dict[str, str]) -> tuple[str, pa.Schema]:
 
 
 def read_bin(spark: SparkSession, path: str, fields: int = 4, intensity: int | None = 3, ring: int | None = None) -> DataFrame:
-    """file, point_id (place in the file), x, y, z, intensity[, ring]; a last record that is cut short is left out."""
+    return decoded_bin(_files(spark, path), fields, intensity, ring)
+
+
+def decoded_bin(files: DataFrame, fields: int = 4, intensity: int | None = 3, ring: int | None = None) -> DataFrame:
+    """Of files (path, content): file, point_id (place in the file), x, y, z, intensity[, ring]; a last record that is cut short is left out."""
     columns = {"x": "double", "y": "double", "z": "double"} | ({"intensity": "double"} if intensity is not None else {}) | ({"ring": "int"} if ring is not None else {})
     ddl, schema = _arrow(columns)
 
@@ -55,7 +59,7 @@ def read_bin(spark: SparkSession, path: str, fields: int = 4, intensity: int | N
                     out["ring"] = raw[:, ring].astype(np.int32)
                 yield file, out
 
-    return _files(spark, path).mapInArrow(lambda b: _emit(frames(b), schema), ddl)
+    return files.mapInArrow(lambda b: _emit(frames(b), schema), ddl)
 
 
 def read_kitti(spark: SparkSession, path: str) -> DataFrame:
@@ -114,7 +118,11 @@ def pcd_points(content: bytes) -> dict[str, np.ndarray]:
 
 
 def read_pcd(spark: SparkSession, path: str) -> DataFrame:
-    """file, point_id, x, y, z, intensity, color, nx, ny, nz; channels that a file lacks are null."""
+    return decoded_pcd(_files(spark, path))
+
+
+def decoded_pcd(files: DataFrame) -> DataFrame:
+    """Of files (path, content): file, point_id, x, y, z, intensity, color, nx, ny, nz; channels that a file lacks are null."""
     columns = {NAMES.get(n, n): t for n, t in CHANNELS.items()}
     ddl, schema = _arrow(columns)
 
@@ -125,7 +133,7 @@ def read_pcd(spark: SparkSession, path: str) -> DataFrame:
                 n = len(got["x"])
                 yield file, {NAMES.get(c, c): got[c] if c in got else np.array([None] * n, dtype=object) for c in CHANNELS}
 
-    return _files(spark, path).mapInArrow(lambda b: _emit(frames(b), schema), ddl)
+    return files.mapInArrow(lambda b: _emit(frames(b), schema), ddl)
 
 
 def read_pcd_metadata(spark: SparkSession, path: str) -> DataFrame:
