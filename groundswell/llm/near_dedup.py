@@ -11,7 +11,8 @@ on at least two of four 16-bit blocks, hence six shards each. A shard above a fi
 three parts of the bits that are still free, twice at most; what is left then is bounded by 2**14 fingerprints.
 
 `near_duplicates` (5-word shingles, Jaccard 0.8) shards by bands of min-hashes, searches fingerprints in a wide radius
-and decides by similarity: min-hash signatures settle clear cases, exact shingle sets the others. A shard above a fixed
+and decides by similarity: min-hash signatures leave out what is far, and say what is looked at first; no two
+documents are joined but by their exact shingle sets. A shard above a fixed
 size is split at random, each band in its own way, which joins what is much alike. Of such a shard only the members
 outside its largest component are left to compare: where they are few they meet all of the shard in blocks; where they
 are many the shard is dealt again by further min-hashes, and after the last of those they meet in blocks too. No size
@@ -41,7 +42,7 @@ SIGNATURE = 128
 LEVELS = 5  # of bands, each of min-hashes of its own
 WIDE = 20
 SIMILARITY = 0.8
-SURE, POSSIBLE = 0.88, 0.70
+POSSIBLE = 0.70  # of the min-hashes: a pair at 0.8 has as many but for about 3 in 1,000
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -284,11 +285,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, sig binary")
 
 
-LINKS = "a long, b long, likeness double"
+LINKS = "grp long, a long, b long, likeness double"
 
 
-def spanning(fp: np.ndarray, node: np.ndarray, sig: np.ndarray, known: int = 0) -> pa.RecordBatch:
-    """Links that may be similar enough, likest first, spanning what they connect. The first `known` rows are only searched for."""
+def spanning(shard: tuple, fp: np.ndarray, node: np.ndarray, sig: np.ndarray, known: int = 0) -> pa.RecordBatch:
+    """Links that may be similar enough, likest first, spanning what they connect: a group, named by a hash of its shard
+    and first member. The first `known` rows are only searched for."""
     tree, pairs = BKTree(), []
     for i, value in enumerate(fp.astype(np.uint64).tolist()):
         if i >= known and (near := [j for j, _ in tree.near(value, WIDE) if node[j] != node[i]]):
@@ -296,8 +298,11 @@ def spanning(fp: np.ndarray, node: np.ndarray, sig: np.ndarray, known: int = 0)
             pairs += [(-a, i, j) for a, j in zip(alike.tolist(), near, strict=True) if a >= POSSIBLE]
         tree.put(value)
     union = Union(len(fp))
-    out = [(node[i], node[j], -a) for a, i, j in sorted(pairs) if union.join(i, j)]
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], type=t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "likeness"])
+    forest = [(i, j, -a) for a, i, j in sorted(pairs) if union.join(i, j)]
+    group = lambda i: xxhash.xxh64_intdigest(np.array([*shard, node[union.root(i)]], dtype=np.int64).tobytes()) - (1 << 63)
+    out = [(group(i), min(node[i], node[j]), max(node[i], node[j]), a) for i, j, a in forest]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], type=t) for k, t in enumerate(kinds)], names=["grp", "a", "b", "likeness"])
 
 
 def crowds(rows: DataFrame, shard: int) -> DataFrame:
@@ -307,11 +312,11 @@ def crowds(rows: DataFrame, shard: int) -> DataFrame:
 
 
 def shard_links(rows: DataFrame, shard: int) -> DataFrame:
-    """a, b, likeness within shards: rows (key, fp, node, sig) of one key, or of one random part of a crowded key."""
+    """grp, a, b, likeness within shards: rows (key, fp, node, sig) of one key, or of one random part of a crowded key."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, fp, node, sig), _, _ in groups(batches, 2, 16 * shard):
-            yield spanning(fp, node, sig)
+        for (key, part, fp, node, sig), _, _ in groups(batches, 2, 16 * shard):
+            yield spanning((key[0], part[0]), fp, node, sig)
 
     part = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0).cast("long")).alias("part")
     split = rows.join(crowds(rows, shard), "key", "left").select("key", part, "fp", "node", "sig")
@@ -319,12 +324,12 @@ def shard_links(rows: DataFrame, shard: int) -> DataFrame:
 
 
 def block_links(crowded: DataFrame, shard: int) -> DataFrame:
-    """a, b, likeness of crowded rows (key, fp, node, sig, n, outside: bool, others) that lie outside their key's largest
+    """grp, a, b, likeness of crowded rows (key, fp, node, sig, n, outside: bool, others) that lie outside their key's largest
     component, with all rows of the key: blocks of the ones meet blocks of the others."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, _, _, asks, fp, node, sig), _, _ in groups(batches, 3, 32 * shard):
-            yield spanning(fp, node, sig, int((asks == 0).sum()))
+        for (key, p, q, asks, fp, node, sig), _, _ in groups(batches, 3, 32 * shard):
+            yield spanning((key[0], p[0], q[0]), fp, node, sig, int((asks == 0).sum()))
 
     blocks = lambda n: F.ceil(F.col(n) / shard)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
@@ -342,14 +347,21 @@ def finer(rows: DataFrame, level: int) -> DataFrame:
     return rows.select(F.explode(bands).alias("key"), "fp", "node", "sig")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose exact shingle sets are as similar."""
+def shingle_sets(ends: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node, shingles of the documents whose id is among ends (node)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.binary())], names=["node", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node", "left_semi")
+    return texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b), those whose exact shingle sets are as similar."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -359,27 +371,28 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -
                 ok.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, type=pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node", "left_semi")
-    shingles = stored(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
     left, right = shingles.toDF("a", "p"), shingles.toDF("b", "q")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(judge, "a long, b long")
 
 
-def accepted(candidates: DataFrame, links: DataFrame | None, docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """links and those of candidates (a, b, likeness) that are similar enough, and the components of all."""
-    found = stored(candidates.groupBy("a", "b").agg(F.max("likeness").alias("likeness")), "similar")
-    sure = found.where(F.col("likeness") >= SURE).select("a", "b")
-    sure = sure if links is None else links.union(sure)
-    close = components(sure)
-    unsure = found.where(F.col("likeness") < SURE)
-    for end in ("a", "b"):  # only what joins different components is worth an exact look
-        unsure = unsure.join(close.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-    open_ = stored(unsure.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "unsure")
-    if open_.isEmpty():
-        return sure, close
-    every = sure.union(stored(verified(open_, docs, words, similarity), "verified"))
-    return every, components(every)
+def accepted(candidates: DataFrame, links: DataFrame, close: DataFrame, docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """links, whose components are close, and those of candidates (grp, a, b, likeness) that join components and are as
+    similar by their exact sets; and the components of all. Likeness only says which pairs are looked at first."""
+    found = stored(candidates, "similar")
+    if found.isEmpty():
+        return links, close
+    shingles = stored(shingle_sets(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, words), "shingles")
+    best = found.groupBy("b").agg(F.max(F.struct("likeness", "a")).alias("s")).select("s.a", "b")
+    seen = None
+    for pairs in (best, found.select("a", "b").distinct()):
+        for end in ("a", "b"):  # only what joins different components is worth an exact look
+            pairs = pairs.join(close.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        seen = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "unsure")
+        if not seen.isEmpty():
+            links = links.union(stored(verified(seen, shingles, similarity), "verified"))
+            close = components(links)
+    return links, close
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
@@ -388,9 +401,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
     first = F.min(F.struct("doc_id", "fp", "bands", "sig")).alias("s")
     nodes = stored(made.where("doc_id IS NOT NULL").groupBy("copy").agg(first).select("copy", F.col("s.doc_id").alias("node"), "s.fp", "s.bands", "s.sig"), "nodes")
     rows = nodes.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "sig").select(F.xxhash64("band", "key").alias("key"), "fp", "node", "sig")
-    linked = None
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    linked = links.toDF("node", "component")
     for level in range(LEVELS):
-        links, linked = accepted(shard_links(rows, shard), None if linked is None else links, docs, words, similarity)
+        links, linked = accepted(shard_links(rows, shard), links, linked, docs, words, similarity)
         crowded = rows.join(crowds(rows, shard), "key").join(linked, "node", "left").select("key", "fp", "node", "sig", F.coalesce("component", "node").alias("component"))
         crowded = stored(crowded, "crowded")
         if crowded.isEmpty():
@@ -403,7 +417,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILAR
         left = crowded.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest"))
         last = level == LEVELS - 1
         settle = left if last else left.where(F.col("others") <= shard)
-        links, linked = accepted(block_links(settle, shard), links, docs, words, similarity)
+        links, linked = accepted(block_links(settle, shard), links, linked, docs, words, similarity)
         if last:
             break
         rows = stored(finer(left.where(F.col("others") > shard), level + 1), "finer")
