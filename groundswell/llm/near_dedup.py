@@ -375,9 +375,50 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(judge, "a long, b long")
 
 
+def joining(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets as similar that join the groups, of all pairs that lie in different ones."""
+    size = np.array([len(x) for x in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    present = np.zeros(int(size.sum()) + 1, dtype=bool)
+    _, group, members = np.unique(group, return_inverse=True, return_counts=True)
+    order, out = np.argsort(members[group], kind="stable"), []  # the largest group's members come last: they need not ask
+    for at, i in enumerate(order):
+        rest = order[at + 1 :]
+        rest = rest[(group[rest] != group[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
+        if not len(rest):
+            continue
+        present[codes[i]] = True
+        both = np.array([np.count_nonzero(present[codes[j]]) for j in rest])
+        present[codes[i]] = False
+        for j in rest[both >= similarity * (size[i] + size[rest] - both)]:
+            if group[j] != group[i]:
+                out.append((int(i), int(j)))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def completed(found: DataFrame, close: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) within the groups of found that are still apart in close, of all their pairs. A group is a part of one
+    shard, so it is bounded; its sets meet in one task, and no pair becomes a row."""
+
+    def join(whole: pa.Table) -> pa.Table:
+        node = whole.column("node").to_numpy()
+        sets = [np.frombuffer(v.as_py(), dtype="<u8") for v in whole.column("shingles")]
+        pairs = joining(sets, whole.column("component").to_numpy(), similarity)
+        return pa.table({name: pa.array([min(node[i], node[j]) if name == "a" else max(node[i], node[j]) for i, j in pairs], type=pa.int64()) for name in "ab"})
+
+    members = found.select("grp", F.explode(F.array("a", "b")).alias("node")).distinct().join(close, "node", "left")
+    members = stored(members.select("grp", "node", F.coalesce("component", "node").alias("component")), "members")
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    split = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *marks)
+    once = split.where("n > 2 AND lo <> hi").groupBy("n", "m0", "m1").agg(F.min("grp").alias("grp")).select("grp")  # bands find the same groups
+    return members.join(once, "grp").join(shingles, "node").groupBy("grp").applyInArrow(join, "a long, b long")
+
+
 def accepted(candidates: DataFrame, links: DataFrame, close: DataFrame, docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """links, whose components are close, and those of candidates (grp, a, b, likeness) that join components and are as
-    similar by their exact sets; and the components of all. Likeness only says which pairs are looked at first."""
+    similar by their exact sets; and the components of all. Likeness only says which pairs are looked at first: where a
+    group's links failed, all its other pairs follow."""
     found = stored(candidates, "similar")
     if found.isEmpty():
         return links, close
@@ -392,7 +433,11 @@ def accepted(candidates: DataFrame, links: DataFrame, close: DataFrame, docs: Da
         if not seen.isEmpty():
             links = links.union(stored(verified(seen, shingles, similarity), "verified"))
             close = components(links)
-    return links, close
+    more = stored(completed(found, close, shingles, similarity), "completed")
+    if more.isEmpty():
+        return links, close
+    links = links.union(more)
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:

@@ -228,6 +228,34 @@ def test_near_duplicates_join_no_family_just_below(spark):
     assert found_components(spark, texts) == {i: i for i in range(169)}
 
 
+def test_near_duplicates_pass_over_no_pair_for_a_likelier_one(spark):
+    """A chain 1-2-4-3 of near copies of which the shard's forest holds 1-2, 3-4 and 1-3, the last likeliest and false."""
+    base = [f"b{k}" for k in range(408)]
+    edits = {1: range(10, 70, 20), 2: [], 3: range(110, 230, 20), 4: range(110, 170, 20)}
+    texts = [(k, " ".join(f"x{k % 2 if at < 100 else 0}{w}" if at in own else w for at, w in enumerate(base))) for k, own in edits.items()]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    candidates = spark.createDataFrame([(7, 1, 2, 0.85), (7, 3, 4, 0.86), (7, 1, 3, 0.9)], near_dedup.LINKS)
+    links = spark.createDataFrame([], "a long, b long")
+    _, close = near_dedup.accepted(candidates, links, links.toDF("node", "component"), docs, 5, 0.8)
+    assert {r["node"]: r["component"] for r in close.collect()} == {2: 1, 3: 1, 4: 1}
+
+
+def test_near_duplicates_joining_looks_at_every_pair_apart():
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.choice(60, r.integers(30, 50), replace=False)).astype("<u8") for _ in range(80)] + [np.array([], dtype="<u8")]
+    group = np.array([k if k < 60 else 60 for k in range(81)])
+    union, want = near_dedup.Union(81), near_dedup.Union(81)
+    for k in range(60, 81):
+        union.join(60, k), want.join(60, k)
+    for i, j in near_dedup.joining(sets, group, 0.6):
+        assert len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])) and union.join(i, j)
+    for i in range(81):
+        for j in range(i):
+            if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])):
+                want.join(i, j)
+    assert [union.root(i) for i in range(81)] == [want.root(i) for i in range(81)]
+
+
 def test_op4_counts_are_greedy(spark, folder):
     mark, pieces = token_counts.byte_level_pieces()
     held, most = set(pieces), max(map(len, pieces))
