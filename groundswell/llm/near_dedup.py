@@ -276,9 +276,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingle_hashes(text.as_py(), words)
-                s = signature(np.unique(h))
+                once = np.unique(h)  # of sets, as the similarity is: repeats of a phrase move nothing
+                s = signature(once)
                 bands = [xxhash.xxh64_intdigest(s[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
-                out.append((doc_id, xxhash.xxh128_digest(h.tobytes()), simhash(h), bands, (s >> np.uint64(48)).astype(np.uint8).tobytes()))
+                out.append((doc_id, xxhash.xxh128_digest(h.tobytes()), simhash(once), bands, (s >> np.uint64(48)).astype(np.uint8).tobytes()))
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "copy", "fp", "bands", "sig"])
 

@@ -256,6 +256,15 @@ def test_near_duplicates_joining_looks_at_every_pair_apart():
     assert [union.root(i) for i in range(81)] == [want.root(i) for i in range(81)]
 
 
+def test_near_duplicates_that_repeat_a_phrase(spark):
+    r = random.Random(21)
+    texts = []
+    for k in range(12):
+        base, phrase = [f"v{r.randrange(10**6)}" for _ in range(820)], [f"p{k}{c}" for c in "abcde"]
+        texts += [" ".join(base + phrase * n) for n in (1, 40)]
+    assert found_components(spark, texts) == {i: i - i % 2 for i in range(24)}
+
+
 def test_op4_counts_are_greedy(spark, folder):
     mark, pieces = token_counts.byte_level_pieces()
     held, most = set(pieces), max(map(len, pieces))
