@@ -58,12 +58,14 @@ class Forest:
             out[t] = node - len(cuts)
         return out
 
-    def search(self, q: np.ndarray, most: int) -> list[tuple[int, int]]:
-        """(tree, leaf) of the leaves nearest to q in one queue over all trees, by the largest cut distance on the way."""
+    def search(self, q: np.ndarray, most: int, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
+        """(tree, leaf) of the leaves nearest to q in one queue over all trees, by the largest cut distance on the way: as
+        many as most, and on until the leaves of one tree, which are disjoint, hold enough rows by sizes (trees, leaves)."""
         inner = self.cuts.shape[1]
         margins = self.normals @ q - self.cuts
         queue, found = [(0.0, t, 0) for t in range(len(self.cuts))], []
-        while queue and len(found) < most:
+        held = [0] * len(self.cuts)
+        while queue and (len(found) < most or max(held) < enough):
             far, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margins[t, node]
@@ -71,6 +73,7 @@ class Forest:
                 heapq.heappush(queue, (max(far, abs(m)), t, 4 * node + 3 - near))
                 node = near
             found.append((t, node - inner))
+            held[t] += int(sizes[t, node - inner])
         return found
 
 
@@ -108,8 +111,8 @@ def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """Of each vector the rows with its k smallest ids."""
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k).drop("n")
+    """Of each vector its k smallest ids, a row each."""
+    return rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k).drop("n")
 
 
 def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
@@ -128,12 +131,27 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
     depth = depth_for(count, len(fit_on))
     forest = vectors.sparkSession.sparkContext.broadcast(fitted(fit_on, trees, depth))  # at most trees * 2**MOST_DEPTH vectors
     most = max(min(trees, 2), math.ceil(share * trees * 2**depth))
-    queries = rows.where(F.col("id") % every == 0)
-    asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
-
     def matrix(column: pa.Array) -> np.ndarray:
         return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), size)
 
+    def leaf_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = forest.value
+        n = np.zeros(len(f.cuts) << f.depth, dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                leaves = f.leaves(matrix(whole.slice(at, 1024).column(1)))
+                np.add.at(n, ((np.arange(len(f.cuts)) << f.depth)[:, None] + leaves).ravel(), 1)
+        leaf = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n[leaf])], names=["leaf", "n"])
+
+    routed = index.mapInArrow(leaf_counts, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    sizes = np.zeros(trees << depth, dtype=np.int64)
+    for r in routed.collect():  # at most trees * 2**MOST_DEPTH rows
+        sizes[r["leaf"]] = r["n"]
+    sizes = sizes.reshape(trees, -1)
+    queries = rows.where(F.col("id") % every == 0)
+    asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
+
     def keyed(kind: int):  # noqa: ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = forest.value
@@ -142,7 +160,7 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
                     batch = whole.slice(at, 1024)
                     x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
                     if kind:
-                        visits = [f.search(q, most) for q in x]
+                        visits = [f.search(q, most, sizes, k + 1) for q in x]
                         row = np.repeat(np.arange(len(x)), [len(v) for v in visits])
                         key = np.array([t << 32 | leaf for v in visits for t, leaf in v], dtype=np.int64)
                     else:

@@ -355,6 +355,16 @@ def test_op6_neighbours(spark, tmp_path):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op6_repeated_rows_and_few_vectors(spark):
+    v = np.random.default_rng(6).normal(size=(40, 8)).tolist()
+    many = [(0, v[0])] * 12 + [(i, v[0]) for i in range(1, 12)] + [(20 + i, v[i]) for i in range(1, 40)]
+    got = neighbours.nearest(spark.createDataFrame(many, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["rank"], r["id"], r["score"]) for r in got) == [(i, i, 0.0) for i in range(1, 11)]
+    for n in (2, 6, 11, 13, 20):
+        few = spark.createDataFrame([(i, v[i]) for i in range(n)], "vec_id long, embedding array<double>")
+        assert neighbours.nearest(few).count() == min(10, n - 1)
+
+
 def test_op7_held_out(spark, labelled):
     got = quality_model.op7_quality_classifier(spark, labelled).collect()
     assert len(got) == 403 and all(0 <= r["score"] <= 1 for r in got)
