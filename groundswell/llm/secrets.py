@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and ordinary identifiers.
 
-A token (a run of key-like characters with a digit in it) is a secret if its first-order Markov log-likelihood as a
-random string exceeds that as an ordinary identifier by a threshold. Both models are trained from labelled samples
-by counting character pairs. Everything runs as DataFrame expressions.
+A token (a run of key-like characters that no match of a fixed pattern covers) is a secret if its first-order Markov
+log-likelihood as a random string exceeds that as an ordinary identifier by a threshold, which is higher for tokens of
+less than WHOLE characters, as 1 / length. Both models are trained from labelled samples by counting character pairs. Everything runs as DataFrame expressions.
 
 Spans are in code points, end exclusive. Defined results: a null text is an empty one and has no spans; null ids and
 repeated rows pass through; extra columns are kept by `with_secrets` and `redacted`, whose own columns are named by
@@ -22,7 +22,8 @@ ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][E
 #: A run of capitals and digits has one leftmost match, so the least length can be part of the pattern; likewise for hex.
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
-TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+TOKEN = "[A-Za-z0-9+/_=-]{8,}"  # what is shorter cannot reach its threshold
+WHOLE = 20
 
 #: Characters that the Markov models know: every one that a token can hold.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -34,6 +35,17 @@ IDENTIFIER_WORDS = (
     "output number string create update delete insert select find load save open close start stop run build test check "
     "parse format convert send receive read write get add remove first last next previous current active version"
 ).split()
+#: Words of English, German, French and Spanish prose, whose letter pairs identifiers lack.
+PROSE_WORDS = (
+    "which should through would thought whether height though nothing everything strength something together without however "
+    "beautiful quickly usually government knowledge information yesterday children question following business experience "
+    "nicht zwischen wissenschaft gesellschaft geschichte deutschland verschiedene entwicklung möglichkeit wirtschaft schreiben "
+    "bundesrepublik herrschaft pflicht kopfschmerzen jahrhundert gemeinschaft verständnis einschätzung tatsächlich hauptstadt "
+    "toujours beaucoup aujourd quelque pourquoi maintenant heureux nombreux travaux nouveaux jeunesse royaume ailleurs besoin "
+    "question langue peuple siècle lequel soixante oiseaux cheveux chevaux feuille bouteille "
+    "siempre también ciudad trabajo quisiera pueblo mejor gobierno desarrollo construcción izquierda derecho corazón guerra "
+    "llamaba caballo muchacho hijo jajaja aquello pequeño cualquier bueno nueve"
+).split()
 
 
 def prefix_sums(values: Column, block: int = 512) -> Column:
@@ -88,7 +100,8 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     """Built-in labelled samples (text, label): label 1 for random strings, 0 for ordinary identifiers, n of each.
 
     Random strings are digests in hex, base 64 and capitals; identifiers join two to four common words in the usual
-    ways, some with a number at the end. Both follow from the row number alone.
+    ways, some with a number at the end; a few are common words of prose, joined, or rules of one mark. All follow from
+    the row number alone.
     """
     i = F.col("id")
     digest = F.sha2(i.cast("string"), 256)
@@ -100,8 +113,12 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     style = F.pmod(F.xxhash64(i, F.lit("style")), F.lit(5))
     joined = F.when(style == 0, F.array_join(F.transform(parts, F.initcap), "")).when(style == 1, F.array_join(parts, "_")).when(style == 2, F.upper(F.array_join(parts, "_"))).when(style == 3, F.array_join(parts, "-")).otherwise(F.array_join(parts, "/"))
     number = F.when(F.pmod(F.xxhash64(i, F.lit("number")), F.lit(2)) == 0, F.pmod(i, F.lit(1000)).cast("string")).otherwise(F.lit(""))
+    prose = F.array(*[F.lit(w) for w in PROSE_WORDS])
+    said = lambda k: F.get(prose, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(PROSE_WORDS))).cast("int"))
+    plain = F.when(style == 0, F.initcap(said("p"))).when(style == 1, F.repeat(F.substring(F.lit("-_=+/"), (F.pmod(i, F.lit(5)) + 1).cast("int"), F.lit(1)), 24)).otherwise(F.concat(said("p"), said("q")))
+    ordinary = F.when(F.pmod(F.xxhash64(i, F.lit("prose")), F.lit(8)) == 0, plain).otherwise(F.concat(joined, number))
     ids = spark.range(n)
-    return ids.select(rand.alias("text"), F.lit(1).alias("label")).union(ids.select(F.concat(joined, number).alias("text"), F.lit(0).alias("label")))
+    return ids.select(rand.alias("text"), F.lit(1).alias("label")).union(ids.select(ordinary.alias("text"), F.lit(0).alias("label")))
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -139,9 +156,9 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
 
 
 def random_spans(text: Column, base: Column, model: list[float], threshold: float) -> Column:
-    """Tokens with a digit, outside the base spans, that the models take for random strings."""
-    tokens = F.filter(spans_of(text, TOKEN, 3), lambda s: s["hit"].rlike("[0-9]") & ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return F.filter(tokens, lambda s: likelihood_ratio(s["hit"], model) >= threshold)
+    """Tokens, other than those within a base span, that the models take for random strings."""
+    tokens = F.filter(spans_of(text, TOKEN, 3), lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"])))
+    return F.filter(tokens, lambda s: likelihood_ratio(s["hit"], model) >= threshold * F.greatest(F.lit(1.0), WHOLE / F.char_length(s["hit"])))
 
 
 def with_secrets(df: DataFrame, samples: DataFrame | None = None, threshold: float = 10.0, text: str = "text", base: str = "base_spans", extra: str = "random_spans") -> DataFrame:

@@ -132,6 +132,14 @@ def test_op2_models_tell_held_out_samples(spark):
     assert sum(r["label"] == r["p"] for r in got) / len(got) > 0.97
 
 
+def test_op2_judges_tokens_without_digits_short_ones_and_those_that_meet_a_pattern(spark):
+    keys = ["qVxKmZpRtYwLbNsHdFgJcTzXvQ", "xZqKvWjXpQzGvB", "ZQxKvW_" + "04dbebab91ab85687d33eeaa" + "qVxKmZpRtYwLb"]
+    plain = ["getUserAccountNumber", "-" * 40, "_" * 30, "/" * 20, "=" * 20, "gesellschaftsgeschichte", "something", "order/item/price/index"]
+    rows = spark.createDataFrame([(k, f"so {t} is") for k, t in enumerate(keys + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()}
+    assert got == {k: f"so {'[SECRET]' if k < len(keys) else t} is" for k, t in enumerate(keys + plain)}
+
+
 def test_op3_components(spark, folder):
     got = near_dedup.op3_simhash_near_dedup(spark, folder).collect()
     rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
