@@ -6,20 +6,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.tables import stored
 
+MANY = 1_000_000  # edges from which on nodes with very many of them are looked for
+HOT = 1000  # such a node has more than one in so many edges, so there are fewer of them
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of edges (a, b); steps alternate until nothing changes."""
+
+def met_with_least(both: DataFrame, edges: int) -> DataFrame:
+    """both (u, v; at most so many) with m, the least v of u. The largest stars' centres are broadcast, so that no task
+    gets all edges of one."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hot = [r["u"] for r in least.where(F.col("n") > edges / HOT).select("u").collect()] if edges > MANY else []  # fewer than HOT
+    if not hot:
+        return both.join(least.select("u", "m"), "u")
+    named = both.sparkSession.createDataFrame([(u,) for u in hot], both.select("u").schema)
+    few = least.select("u", "m").join(F.broadcast(named), "u", "left_semi")
+    return both.join(F.broadcast(few), "u").union(both.join(F.broadcast(named), "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of edges (a, b) but the smallest ones; steps alternate until nothing changes,
+    which labels that only ever fall must reach."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(most):
+    while True:
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
-            break
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         seen = mark
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        met = met_with_least(now.union(now.select("v", "u")), 2 * mark[0])
+        large = met.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         pairs = F.array(F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        now = stored(large.join(least, "u").select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        now = stored(met_with_least(large, 2 * mark[0]).select(F.explode(pairs).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "edges")
