@@ -27,6 +27,32 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+#: A key that more than one in so many rows have is hot; there are fewer such keys than this.
+HOT = 1000
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """rows joined with facts, which has a row a key at most, where no task gets all rows of a hot key.
+
+    counts: keys and n, how many rows have the key (keys of few rows may be left out). Facts of hot keys, at most HOT
+    rows, are broadcast; all others are joined by a shuffle, where a key has at most one in HOT rows.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [tuple(r) for r in counts.where(F.col("n") > max(total / HOT, 10_000)).select(*keys).collect()]  # at most HOT rows
+    if not hot:
+        return rows.join(facts, keys)
+    named = rows.sparkSession.createDataFrame(hot, counts.select(*keys).schema)
+    few = facts.join(F.broadcast(named), keys, "left_semi")
+    return rows.join(F.broadcast(few), keys).unionByName(rows.join(F.broadcast(named), keys, "left_anti").join(facts, keys))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often the body names it."""
     return F.transform(F.array(value), body)[0]
@@ -46,4 +72,4 @@ def parts(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str | None]]:
         yield held
 
 
-__all__ = ["SPACES", "let", "parts", "scratch_path", "shared_dir", "stored", "table", "words_of"]
+__all__ = ["HOT", "SPACES", "joined", "let", "parts", "scratch_path", "shared_dir", "stored", "table", "unused", "words_of"]

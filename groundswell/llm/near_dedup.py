@@ -4,22 +4,24 @@ Every distinct fingerprint is dealt to shards such that fingerprints within the
 shard grows a BK-tree, children keyed by their Hamming distance to the parent; a fingerprint searches the tree of
 those before it along the edges within the radius of its own distance, then joins the tree. A shard emits a spanning
 forest of its links, so copies never make all their pairs. Trees travel to their shard's task by shuffle; no tree of
-the whole corpus exists, and nothing is broadcast.
+the whole corpus exists, and nothing that grows with it is broadcast.
 
 `links` (for the fixed 64-bit contract) shards by agreeing bits: fingerprints that differ in at most two bits agree
-on at least two of four 16-bit blocks, hence six shards each. A shard above a fixed size deals its members again, by
-three parts of the bits that are still free, twice at most; what is left then is bounded by 2**14 fingerprints.
-
-`near_duplicates` (5-word shingles, Jaccard 0.8) shards by bands of min-hashes, searches fingerprints in a wide radius
-and decides by similarity: min-hash signatures leave out what is far, and say what is looked at first; no two
-documents are joined but by their exact shingle sets. A shard above a fixed
-size is split at random, each band in its own way, which joins what is much alike. Of such a shard only the members
-outside its largest component are left to compare: where they are few they meet all of the shard in blocks; where they
-are many the shard is dealt again by further min-hashes, and after the last of those they meet in blocks too. No size
-of a shard drops a member; being dealt again costs a pair as much recall as the first bands do.
-
-Defined results: a null text is an empty one, with fingerprint zero. Documents with a null id take part through
-others' ids only: their component is the smallest id linked, or null. Repeated rows are exact copies.
+on at least one of three blocks of 21 or 22 bits, hence three shards each. A shard above a fixed size deals its
+members again, by three parts of the bits that are still free, until a shard is small or has so few free bits that it
+cannot hold more than 2**WHOLE fingerprints. No link is lost.
+
+`near_duplicates` (5-word shingles, Jaccard 0.8) shards texts by bands of min-hashes. The trees of a shard find what
+lies within a wide radius of a text's SimHash, and exact shingle sets decide every link, in the shard's own task; a
+pair is passed over only where its texts are joined already. A shard above a fixed size is split at random, each band
+in its own way, which joins what is much alike. Of such a shard only the members outside its largest component are left
+to compare: where they are few they meet all of the shard in blocks; where they are many the shard is dealt again by
+further min-hashes, and after the last of those they meet in blocks too. No size of a shard drops a member; being
+dealt again costs a pair as much recall as the first bands do.
+
+Defined results: a null text is an empty one, with fingerprint zero; empty texts are copies of each other. Documents
+with a null id take part like others and link what they are near to; the id of a group is the smallest that it
+holds, null if none. Repeated rows are exact copies. One id with different texts is several documents.
 """
 
 from __future__ import annotations
@@ -32,17 +34,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
-from .common import stored, table
+from .common import joined, stored, table, unused
 
 SEED = 42
 RADIUS = 2
 SHARD = 1024
+WHOLE = 12  # free bits of a shard that is never dealt again
 BANDS, ROWS = 8, 3
-SIGNATURE = 128
 LEVELS = 5  # of bands, each of min-hashes of its own
 WIDE = 20
 SIMILARITY = 0.8
-POSSIBLE = 0.70  # of the min-hashes: a pair at 0.8 has as many but for about 3 in 1,000
 
 
 # --- fingerprints -----------------------------------------------------------------------------------------------
@@ -141,7 +142,9 @@ class Union:
 
 def numbers(column: pa.Array) -> np.ndarray:
     if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+        out = np.empty(len(column), dtype=object)
+        out[:] = column.to_pylist()
+        return out
     return column.to_numpy(zero_copy_only=False)
 
 
@@ -181,50 +184,56 @@ def mask(bits: range | list[int]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
+def free(m: int) -> list[int]:
+    return [b for b in range(64) if not m >> b & 1]
+
+
 def first_masks() -> list[int]:
-    """The bits of two blocks of four."""
-    return [mask([*range(16 * a, 16 * a + 16), *range(16 * b, 16 * b + 16)]) for a in range(4) for b in range(a + 1, 4)]
+    """Three blocks of bits; two differing bits leave one alone."""
+    return [mask(range(0, 22)), mask(range(22, 43)), mask(range(43, 64))]
 
 
 def narrower(m: int) -> list[int]:
     """m and one of three parts of the bits outside it, each: two differing bits leave one part alone."""
-    free = [b for b in range(64) if not m >> b & 1]
-    third = -(-len(free) // 3)
-    return [mask([b for b in range(64) if m >> b & 1] + free[k : k + third]) for k in range(0, len(free), third)]
+    left = free(m)
+    third = -(-len(left) // 3)
+    own = [b for b in range(64) if m >> b & 1]
+    return [mask(own + left[k : k + third]) for k in range(0, len(left), third)]
 
 
 def dealt(nodes: DataFrame, masks: Column) -> DataFrame:
-    """nodes (node, fp) in the order of shards: mask, value, fp, node."""
+    """nodes (fp) in the order of shards: mask, value, fp."""
     rows = nodes.withColumn("mask", F.explode(masks)).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
-    return rows.select("mask", "value", "fp", "node").repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
+    return rows.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value", "fp")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) that span the components of nodes (node, fp: distinct) within the radius, which is 2 at most."""
-    found = []
-    masks, rows = first_masks(), dealt(nodes, F.array(*map(F.lit, first_masks())))
-    for level in range(3):
-        last = level == 2
-
-        def search(batches: Iterator[pa.RecordBatch], last: bool = last) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("mask", pa.int64()), ("fp", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-            for (m, _, fp, node), first, end in groups(batches, 2, 1 << 15 if last else shard):
-                if first and end:
-                    tree, union, order = BKTree(), Union(len(fp)), np.argsort(node)
-                    for i, value in enumerate((fp[order].astype(np.uint64)).tolist()):
+    """Links (a, b: fingerprints) that span the components of nodes (fp: distinct) within the radius, which is 2 at most."""
+    if not 0 <= radius <= 2:
+        raise ValueError("shards bring fingerprints of at most two differing bits together")
+    found: list[DataFrame] = []
+    masks = first_masks()
+    rows = dealt(nodes, F.array(*map(F.lit, masks)))
+    while True:
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            schema = pa.schema([("mask", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+            for (m, _, fp), first, end in groups(batches, 2, 1 << WHOLE):
+                if first and end and (len(fp) <= shard or len(free(int(m[0]))) <= WHOLE):
+                    tree, union = BKTree(), Union(len(fp))
+                    for i, value in enumerate(fp.astype(np.uint64).tolist()):
                         for j, _ in tree.add(value, radius):
                             union.join(i, j)
-                    ids = node[order]
-                    pairs = [(ids[i], ids[r]) for i in range(len(fp)) if (r := union.root(i)) != i]
-                    out = [[None] * len(pairs), [None] * len(pairs), *([p[k] for p in pairs] for k in (0, 1))]
+                    pairs = [(r, i) for i in range(len(fp)) if (r := union.root(i)) != i]
+                    out = [m[: len(pairs)], *(fp[[p[k] for p in pairs]] for k in (0, 1))] if pairs else [[], [], []]
                 else:  # too large a shard: its members are dealt again
-                    out = [m, fp, node, [None] * len(fp)]
+                    out = [m, fp, [None] * len(fp)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-        done = stored(rows.mapInArrow(search, "mask long, fp long, a long, b long"), f"links-{level}")
+        done = stored(rows.mapInArrow(search, "mask long, a long, b long"), "links")
         found.append(done.where("b IS NOT NULL").select("a", "b"))
-        again = done.where("b IS NULL").select("mask", "fp", F.col("a").alias("node"))
-        if last or again.isEmpty():
+        again = done.where("b IS NULL").select("mask", F.col("a").alias("fp"))
+        if again.isEmpty():
             break
         finer = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*map(F.lit, narrower(m))))])
         rows = dealt(again, F.element_at(finer, F.col("mask")))
@@ -238,13 +247,20 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
 # --- components --------------------------------------------------------------------------------------------------
 
 
+def smallest(nodes: DataFrame, linked: DataFrame, rank: Column) -> DataFrame:
+    """nodes (node, ...) with the component of each and, as least, the smallest rank in it."""
+    named = stored(nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    groups_ = named.groupBy("component").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("n"))
+    return joined(named, groups_.drop("n"), ["component"], groups_.select("component", "n"))
+
+
 def fingerprint_components(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text) as doc_id, fp, component_id."""
     fps = stored(fingerprints(docs, words), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    linked = components(links(nodes.where("node IS NOT NULL"), radius))
-    named = nodes.join(linked, "node", "left").select(F.col("fp").alias("__fp"), F.coalesce("component", F.col("node")).alias("component_id"))
-    return fps.join(named, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    nodes = stored(fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "nodes")
+    linked = components(links(nodes.select(F.col("node").alias("fp")), radius))
+    named = smallest(nodes, linked, F.col("doc_id")).select(F.col("node").alias("fp"), F.col("least").alias("component_id"))
+    return joined(fps, named, ["fp"], nodes.select(F.col("node").alias("fp"), "n")).select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,233 +270,215 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near duplicates by similarity -------------------------------------------------------------------------------
 
-_RNG = np.random.default_rng(2024)
-_A = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
+#: A row's identity: two hashes of its id and text.
+KEYS = ["k1", "k2"]
+LINKS = "a long, b long"
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The min-hashes of a set of hashes under fixed multiply-add permutations; the largest number for an empty set."""
-    out = np.full(SIGNATURE, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 2048):
-        x = hashes[at : at + 2048, None] * _A + _B
-        out = np.minimum(out, (x ^ (x >> np.uint64(32))).min(0))
-    return out
+def permutations(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of a level's min-hashes, BANDS * ROWS of them."""
+    rng = np.random.default_rng([2024, level])
+    draw = lambda: rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    return draw() * np.uint64(2) + np.uint64(1), draw()
+
+
+def bands_of(hashes: np.ndarray, level: int = 0) -> list[int]:
+    """A number for each band: of the min-hashes of a set of hashes under fixed multiply-add permutations."""
+    a, b = permutations(level)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] * a + b
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    return [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), level * BANDS + k) - (1 << 63) for k in range(BANDS)]
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keys: tuple[str, str] = ("k1", "k2")) -> DataFrame:
+    return docs.withColumns({keys[0]: F.xxhash64(doc_id, text), keys[1]: F.xxhash64(F.lit(1), text, doc_id)})
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, copy (a hash of the word sequence), fp, bands, and sig: a byte of each min-hash."""
+    """k1, k2, doc_id, copy (a hash of the word sequence), fp and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text in batch.column(3):
                 h = shingle_hashes(text.as_py(), words)
                 once = np.unique(h)  # of sets, as the similarity is: repeats of a phrase move nothing
-                s = signature(once)
-                bands = [xxhash.xxh64_intdigest(s[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
-                out.append((doc_id, xxhash.xxh128_digest(h.tobytes()), simhash(once), bands, (s >> np.uint64(48)).astype(np.uint8).tobytes()))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "copy", "fp", "bands", "sig"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, copy binary, fp long, bands array<long>, sig binary")
+                out.append((xxhash.xxh128_digest(h.tobytes()), simhash(once), bands_of(once)))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True))], names=[*KEYS, "doc_id", "copy", "fp", "bands"])
 
+    rows = keyed(docs.select(F.col("doc_id").cast("long"), "text")).select(*KEYS, "doc_id", "text")
+    return rows.mapInArrow(run, "k1 long, k2 long, doc_id long, copy binary, fp long, bands array<long>")
 
-LINKS = "grp long, a long, b long, likeness double"
 
-
-def spanning(shard: tuple, fp: np.ndarray, node: np.ndarray, sig: np.ndarray, known: int = 0) -> pa.RecordBatch:
-    """Links that may be similar enough, likest first, spanning what they connect: a group, named by a hash of its shard
-    and first member. The first `known` rows are only searched for."""
-    tree, pairs = BKTree(), []
+def spanning(fp: np.ndarray, node: np.ndarray, sets: list[np.ndarray], group: np.ndarray, similarity: float, known: int = 0) -> list[tuple[int, int]]:
+    """Links of the similarity by exact sets, as many as join what they connect: of rows found through one tree, in order of
+    distance, with those before. Rows of one group are joined already; the first `known` rows are only searched for."""
+    tree, out = BKTree(), []
+    group, size = group.copy(), np.array([len(x) for x in sets])
+    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    present = np.zeros(int(size.sum()) + 1, dtype=bool)
     for i, value in enumerate(fp.astype(np.uint64).tolist()):
-        if i >= known and (near := [j for j, _ in tree.near(value, WIDE) if node[j] != node[i]]):
-            alike = (sig[near] == sig[i]).mean(1)
-            pairs += [(-a, i, j) for a, j in zip(alike.tolist(), near, strict=True) if a >= POSSIBLE]
+        if i >= known and (near := sorted(tree.near(value, WIDE), key=lambda x: x[1])):
+            rows = np.array([j for j, _ in near])
+            rows = rows[(group[rows] != group[i]) & (np.minimum(size[rows], size[i]) >= similarity * np.maximum(size[rows], size[i]))]
+            present[codes[i]] = True
+            for j in rows.tolist():
+                if group[j] != group[i]:
+                    both = int(np.count_nonzero(present[codes[j]]))
+                    if both >= similarity * (size[i] + size[j] - both):
+                        out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                        group[group == group[j]] = group[i]
+            present[codes[i]] = False
         tree.put(value)
-    union = Union(len(fp))
-    forest = [(i, j, -a) for a, i, j in sorted(pairs) if union.join(i, j)]
-    group = lambda i: xxhash.xxh64_intdigest(np.array([*shard, node[union.root(i)]], dtype=np.int64).tobytes()) - (1 << 63)
-    out = [(group(i), min(node[i], node[j]), max(node[i], node[j]), a) for i, j, a in forest]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], type=t) for k, t in enumerate(kinds)], names=["grp", "a", "b", "likeness"])
-
-
-def crowds(rows: DataFrame, shard: int) -> DataFrame:
-    """Keys of rows that more than shard rows have, and how many parts they need."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.where(F.col("n") > shard).select("key", F.ceil(F.col("n") / shard).alias("parts"))
+    return out
 
 
-def shard_links(rows: DataFrame, shard: int) -> DataFrame:
-    """grp, a, b, likeness within shards: rows (key, fp, node, sig) of one key, or of one random part of a crowded key."""
+def searched(rows: DataFrame, keys: list[str], limit: int, similarity: float) -> DataFrame:
+    """Links (a, b) within shards: rows (keys, asks, fp, node, component, shingles), asks 0 for rows that are only searched for.
+    A shard above the limit raises: it is never cut."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, part, fp, node, sig), _, _ in groups(batches, 2, 16 * shard):
-            yield spanning((key[0], part[0]), fp, node, sig)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, first, end in groups(batches, len(keys), limit):
+            if not (first and end):
+                raise RuntimeError(f"a shard of near duplicates holds more than {limit} texts")
+            asks, fp, node, group, raw = columns[len(keys) :]
+            pairs = spanning(fp, node, [np.frombuffer(v, dtype="<u8") for v in raw], group, similarity, int((asks == 0).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    part = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.col("parts")), F.lit(0).cast("long")).alias("part")
-    split = rows.join(crowds(rows, shard), "key", "left").select("key", part, "fp", "node", "sig")
-    return split.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(search, LINKS)
+    names = [*keys, "asks", "fp"]
+    return rows.select(*names, "node", "component", "shingles").repartition(*keys).sortWithinPartitions(*names, "node").mapInArrow(run, LINKS)
 
 
-def block_links(crowded: DataFrame, shard: int) -> DataFrame:
-    """grp, a, b, likeness of crowded rows (key, fp, node, sig, n, outside: bool, others) that lie outside their key's largest
-    component, with all rows of the key: blocks of the ones meet blocks of the others."""
+def shard_links(rows: DataFrame, shard: int, similarity: float) -> DataFrame:
+    """Links within shards: rows (key, n, ...) of one key, or of one random part of a crowded key."""
+    part = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / shard))
+    return searched(rows.withColumns({"part": part, "asks": F.lit(1)}), ["key", "part"], 16 * shard, similarity)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, p, q, asks, fp, node, sig), _, _ in groups(batches, 3, 32 * shard):
-            yield spanning((key[0], p[0], q[0]), fp, node, sig, int((asks == 0).sum()))
 
+def block_links(crowded: DataFrame, shard: int, similarity: float) -> DataFrame:
+    """Links of crowded rows (key, n, others, outside: bool, ...) that lie outside their key's largest component, with all rows
+    of the key: blocks of the ones meet blocks of the others."""
     blocks = lambda n: F.ceil(F.col(n) / shard)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
     own = lambda n, salt: F.pmod(F.xxhash64("node", "key", F.lit(salt)), blocks(n))
-    rest = ["fp", "node", "sig"]
+    rest = ["fp", "node", "component", "shingles"]
     known = crowded.select("key", every("others").alias("p"), own("n", 1).alias("q"), F.lit(0).alias("asks"), *rest)
     asking = crowded.where("outside").select("key", own("others", 2).alias("p"), every("n").alias("q"), F.lit(1).alias("asks"), *rest)
-    return known.union(asking).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "asks", "fp").mapInArrow(search, LINKS)
+    return searched(known.union(asking), ["key", "p", "q"], 32 * shard, similarity)
 
 
 def finer(rows: DataFrame, level: int) -> DataFrame:
-    """rows (key, fp, node, sig) under the bands of min-hashes that this level has to itself, each within its old key."""
-    first = level * BANDS * ROWS + 1
-    bands = F.array(*[F.xxhash64("key", F.lit(k), F.substring("sig", first + k * ROWS, ROWS)) for k in range(BANDS)])
-    return rows.select(F.explode(bands).alias("key"), "fp", "node", "sig")
-
+    """rows (key, node, shingles) as key, node under the bands of this level's own min-hashes, each within its old key."""
 
-def shingle_sets(ends: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles of the documents whose id is among ends (node)."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, type=pa.binary())], names=["node", "shingles"])
+            bands = [bands_of(np.frombuffer(v.as_py(), dtype="<u8"), level) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, type=pa.list_(pa.int64()))], names=["key", "node", "bands"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ends, "node", "left_semi")
-    return texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+    again = rows.select("key", "node", "shingles").mapInArrow(run, "key long, node long, bands array<long>")
+    return again.select("key", "node", F.posexplode("bands").alias("band", "own")).select(F.xxhash64("key", "band", "own").alias("key"), "node")
 
 
-def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose exact shingle sets are as similar."""
+def shingle_sets(ends: DataFrame, docs: DataFrame, words: int, counts: DataFrame) -> DataFrame:
+    """node, fp, shingles: the sets of the texts that ends (k1, k2, node, fp) names; counts: k1, k2, n of repeated rows."""
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_py(), dtype="<u8") for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, type=pa.bool_())) for k in (0, 1)], names=["a", "b"])
-
-    left, right = shingles.toDF("a", "p"), shingles.toDF("b", "q")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(judge, "a long, b long")
+            rows = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, type=pa.binary())], names=["node", "fp", "shingles"])
 
+    texts = keyed(docs.select(F.col("doc_id").cast("long"), "text")).select(*KEYS, "text")
+    met = joined(texts, ends, KEYS, counts).select("node", "fp", "text")
+    if not counts.isEmpty():
+        met = met.dropDuplicates(["node"])
+    return met.mapInArrow(sets, "node long, fp long, shingles binary")
 
-def joining(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Pairs of sets as similar that join the groups, of all pairs that lie in different ones."""
-    size = np.array([len(x) for x in sets])
-    codes = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
-    present = np.zeros(int(size.sum()) + 1, dtype=bool)
-    _, group, members = np.unique(group, return_inverse=True, return_counts=True)
-    order, out = np.argsort(members[group], kind="stable"), []  # the largest group's members come last: they need not ask
-    for at, i in enumerate(order):
-        rest = order[at + 1 :]
-        rest = rest[(group[rest] != group[i]) & (np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i]))]
-        if not len(rest):
-            continue
-        present[codes[i]] = True
-        both = np.array([np.count_nonzero(present[codes[j]]) for j in rest])
-        present[codes[i]] = False
-        for j in rest[both >= similarity * (size[i] + size[rest] - both)]:
-            if group[j] != group[i]:
-                out.append((int(i), int(j)))
-                group[group == group[j]] = group[i]
-    return out
 
+def shards_of(rows: DataFrame) -> DataFrame:
+    """key, n of the keys that several of rows (key, node) have; of keys with the same members, one."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *marks).where("n > 1")
+    return several.groupBy("n", "m0", "m1").agg(F.min("key").alias("key")).select("key", "n")
 
-def completed(found: DataFrame, close: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) within the groups of found that are still apart in close, of all their pairs. A group is a part of one
-    shard, so it is bounded; its sets meet in one task, and no pair becomes a row."""
 
-    def join(whole: pa.Table) -> pa.Table:
-        node = whole.column("node").to_numpy()
-        sets = [np.frombuffer(v.as_py(), dtype="<u8") for v in whole.column("shingles")]
-        pairs = joining(sets, whole.column("component").to_numpy(), similarity)
-        return pa.table({name: pa.array([min(node[i], node[j]) if name == "a" else max(node[i], node[j]) for i, j in pairs], type=pa.int64()) for name in "ab"})
+def node_links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, shard: int, counts: DataFrame) -> DataFrame:
+    """node, component of nodes (node, k1, k2, fp, bands) that have links."""
+    links_: DataFrame | None = None
+    linked = nodes.sparkSession.createDataFrame([], "node long, component long")
+    rows = nodes.select(F.posexplode("bands").alias("band", "own"), "node").select(F.xxhash64("band", "own").alias("key"), "node")
+    for level in range(LEVELS):
+        shards = stored(shards_of(rows), "shards")
+        members = stored(joined(rows, shards, ["key"], shards), "members")
+        if members.isEmpty():
+            break
+        ends = nodes.select(*KEYS, "node", "fp").join(members.select("node").distinct(), "node", "left_semi")
+        sets = stored(shingle_sets(ends, docs, words, counts), "shingles")
 
-    members = found.select("grp", F.explode(F.array("a", "b")).alias("node")).distinct().join(close, "node", "left")
-    members = stored(members.select("grp", "node", F.coalesce("component", "node").alias("component")), "members")
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"m{k}") for k in (0, 1)]
-    split = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), *marks)
-    once = split.where("n > 2 AND lo <> hi").groupBy("n", "m0", "m1").agg(F.min("grp").alias("grp")).select("grp")  # bands find the same groups
-    return members.join(once, "grp").join(shingles, "node").groupBy("grp").applyInArrow(join, "a long, b long")
-
-
-def accepted(candidates: DataFrame, links: DataFrame, close: DataFrame, docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """links, whose components are close, and those of candidates (grp, a, b, likeness) that join components and are as
-    similar by their exact sets; and the components of all. Likeness only says which pairs are looked at first: where a
-    group's links failed, all its other pairs follow."""
-    found = stored(candidates, "similar")
-    if found.isEmpty():
-        return links, close
-    shingles = stored(shingle_sets(found.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, words), "shingles")
-    best = found.groupBy("b").agg(F.max(F.struct("likeness", "a")).alias("s")).select("s.a", "b")
-    seen = None
-    for pairs in (best, found.select("a", "b").distinct()):
-        for end in ("a", "b"):  # only what joins different components is worth an exact look
-            pairs = pairs.join(close.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        seen = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "unsure")
-        if not seen.isEmpty():
-            links = links.union(stored(verified(seen, shingles, similarity), "verified"))
-            close = components(links)
-    more = stored(completed(found, close, shingles, similarity), "completed")
-    if more.isEmpty():
-        return links, close
-    links = links.union(more)
-    return links, components(links)
+        def full(some: DataFrame, sets: DataFrame = sets) -> DataFrame:
+            return some.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets, "node")
 
+        def add(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+            more = stored(more, "similar")
+            every = more if links_ is None else links_.union(more)
+            return every, components(every)
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
-    """doc_id, component_id: exact copies of word sequences, and links of the similarity or more, joined."""
-    made = stored(sketches(docs.select("doc_id", "text"), words), "sketches")
-    first = F.min(F.struct("doc_id", "fp", "bands", "sig")).alias("s")
-    nodes = stored(made.where("doc_id IS NOT NULL").groupBy("copy").agg(first).select("copy", F.col("s.doc_id").alias("node"), "s.fp", "s.bands", "s.sig"), "nodes")
-    rows = nodes.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "sig").select(F.xxhash64("band", "key").alias("key"), "fp", "node", "sig")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    linked = links.toDF("node", "component")
-    for level in range(LEVELS):
-        links, linked = accepted(shard_links(rows, shard), links, linked, docs, words, similarity)
-        crowded = rows.join(crowds(rows, shard), "key").join(linked, "node", "left").select("key", "fp", "node", "sig", F.coalesce("component", "node").alias("component"))
-        crowded = stored(crowded, "crowded")
+        links_, linked = add(shard_links(full(members), shard, similarity))
+        crowded = members.where(F.col("n") > shard)
         if crowded.isEmpty():
             break
-        sizes = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
-        sizes = sizes.select("key", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.component").alias("largest")).where("others > 0")
+        crowded = stored(crowded.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "crowded")
+        sizes = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).groupBy("key").agg(F.first("n").alias("n"), F.max(F.struct("c", "component")).alias("most"))
+        sizes = sizes.select("key", "n", (F.col("n") - F.col("most.c")).alias("others"), F.col("most.component").alias("largest")).where("others > 0")
         sizes = stored(sizes, "crowds")
         if sizes.isEmpty():
             break
-        left = crowded.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest"))
+        left = joined(crowded.select("key", "node", "component"), sizes, ["key"], sizes).withColumn("outside", F.col("component") != F.col("largest"))
+        left = stored(left.join(sets, "node"), "left")
         last = level == LEVELS - 1
-        settle = left if last else left.where(F.col("others") <= shard)
-        links, linked = accepted(block_links(settle, shard), links, linked, docs, words, similarity)
+        links_, linked = add(block_links(left if last else left.where(F.col("others") <= shard), shard, similarity))
         if last:
             break
         rows = stored(finer(left.where(F.col("others") > shard), level + 1), "finer")
         if rows.isEmpty():
             break
-    named = nodes.join(linked, "node", "left").select(F.col("copy").alias("__copy"), F.coalesce("component", F.col("node")).alias("component_id"))
-    return made.select("doc_id", "copy").join(named, F.col("copy") == F.col("__copy"), "left").select("doc_id", "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one row of each group: that with the smallest id. Rows with a null id stay; repeats of the row that stays go."""
-    found = near_duplicates(docs, words, similarity)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    met = docs.join(stay, "doc_id")
-    once = met.where("__rows = 1").select(docs.columns)
-    again = met.where("__rows > 1").dropDuplicates(["doc_id"]).select(docs.columns)
-    return once.union(again).union(docs.where("doc_id IS NULL"))
+    return linked
+
+
+def grouped(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows (k1, k2, doc_id, copy), groups (copy, n, first: of the row that stays), and k1, k2, n of rows that repeat."""
+    made = stored(sketches(docs, words), "sketches")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEYS)
+    first = F.min(F.struct(rank.alias("rank"), "fp", "bands")).alias("s")
+    nodes = made.groupBy("copy").agg(first, F.count(F.lit(1)).alias("n"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "copy", "n", "s.rank", *[F.col(f"s.rank.{k}").alias(k) for k in KEYS], "s.fp", "s.bands"), "nodes")
+    counts = stored(made.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats")
+    linked = node_links(nodes, docs, words, similarity, shard, counts)
+    return made.select(*KEYS, "doc_id", "copy"), smallest(nodes.select("node", "copy", "n", "rank"), linked, F.col("rank")).select("copy", "n", F.col("least").alias("first")), counts
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """doc_id, component_id: exact copies of word sequences, and links of the similarity or more, joined."""
+    rows, copies, _ = grouped(docs, words, similarity, shard)
+    return joined(rows, copies.select("copy", "first"), ["copy"], copies.select("copy", "n")).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """docs with one row of each group: that with the smallest id (null last), of its texts that of the smallest hash."""
+    _, copies, counts = grouped(docs, words, similarity, shard)
+    stay = stored(copies.select(*[F.col(f"first.{k}").alias(k) for k in KEYS]).distinct(), "stay")
+    names = tuple(unused(docs, k) for k in KEYS)
+    own = dict(zip(KEYS, names, strict=True))
+    stay, counts = stay.withColumnsRenamed(own), counts.withColumnsRenamed(own)
+    ids = unused(docs, "id")
+    met = joined(keyed(docs.withColumn(ids, F.col("doc_id").cast("long")), ids, "text", names), stay, list(names), counts)
+    if counts.isEmpty():
+        return met.select(docs.columns)
+    again = met.join(counts.select(*names), list(names), "left_semi").dropDuplicates(list(names))
+    return met.join(counts.select(*names), list(names), "left_anti").select(docs.columns).union(again.select(docs.columns))
 
 
 QUERIES = {"op3_simhash_near_dedup": op3_simhash_near_dedup}

@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
         for (_, kind, ids, raw), first, _ in groups(batches, 1, 4096):
             if first:
                 held = []
-            x = raw.view(raw_type).reshape(len(ids), -1).astype(np.float64)
+            x = np.frombuffer(b"".join(raw), dtype=raw_type).reshape(len(ids), -1).astype(np.float64)
             if (kind == 0).any():
                 held.append((ids[kind == 0], x[kind == 0]))
             if (kind == 1).any() and held:

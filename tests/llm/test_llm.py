@@ -160,18 +160,61 @@ def test_op3_components(spark, folder):
     assert collections.Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
 
 
-def test_op3_crowded_shards_lose_no_link(spark):
+def linked_fingerprints(spark, values, **options):
+    """Each value's component, by its place among all."""
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(4)
+    got = {x["node"]: x["component"] for x in near_dedup.components(near_dedup.links(nodes, **options)).collect()}
+    by = {}
+    for v in signed:
+        by.setdefault(got.get(v, v), []).append(v)
+    place = {v: i for i, v in enumerate(signed)}
+    least = {v: min(place[x] for x in own) for own in by.values() for v in own}
+    return [least[v] for v in signed]
+
+
+def brute_fingerprints(values):
+    """Neighbours within two bits, by flipping bits."""
+    place, union = {v: i for i, v in enumerate(values)}, near_dedup.Union(len(values))
+    flips = [1 << b for b in range(64)] + [1 << a | 1 << b for a in range(64) for b in range(a)]
+    for i, v in enumerate(values):
+        for f in flips:
+            if (j := place.get(v ^ f)) is not None:
+                union.join(i, j)
+    return [union.root(i) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("shard", [1024, 16, 2])
+def test_op3_crowded_shards_lose_no_link(spark, shard):
     r = random.Random(3)
     centre = r.getrandbits(64)
     values = sorted({centre ^ sum(1 << b for b in r.sample(range(40), r.randrange(5))) for _ in range(220)})
-    nodes = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "node long, fp long")
-    got = {x["node"]: x["component"] for x in near_dedup.components(near_dedup.links(nodes, shard=16)).collect()}
-    union = near_dedup.Union(len(values))
-    for i, a in enumerate(values):
-        for j in range(i):
-            if (a ^ values[j]).bit_count() <= 2:
-                union.join(i, j)
-    assert all(got.get(i, i) == union.root(i) for i in range(len(values)))
+    values += [r.getrandbits(64) for _ in range(50)] + [v ^ 1 ^ 1 << 63 for v in values[::7]]
+    values = list(dict.fromkeys(values))
+    assert linked_fingerprints(spark, values, shard=shard) == brute_fingerprints(values)
+
+
+def test_op3_a_shard_of_thousands_that_agree_in_all_but_sixteen_bits(spark):
+    """Above 2**15 fingerprints share 48 bits: numbers of 16 spread bits with an even count, so that links are by two bits."""
+    bits = [4 * k + 1 for k in range(16)]
+    spread = lambda n: sum(1 << b for k, b in enumerate(bits) if n >> k & 1)
+    values = [spread(n) for n in range(1 << 16) if n.bit_count() % 2 == 0] + [spread(1 << 15 | 1) ^ 1 << 62]
+    assert len(values) > 1 << 15
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long").repartition(8)
+    got = near_dedup.components(near_dedup.links(nodes)).agg(F.count("node"), F.countDistinct("component")).first()
+    assert tuple(got) == (len(values) - 1, 1)  # the smallest names the others
+
+
+def test_op3_null_ids_bridge_and_hot_fingerprints_are_whole(spark, monkeypatch):
+    """Rows 1 and 3 are two bits from a document without an id, and four from each other; one text has most rows."""
+    monkeypatch.setattr(near_dedup, "fingerprints", lambda docs, words: docs.select("doc_id", F.col("text").cast("long").alias("fp")))
+    rows = [(1, "0"), (None, "3"), (3, "15"), (7, str(7 << 40)), (None, str(7 << 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in near_dedup.fingerprint_components(docs).collect()}
+    assert got == {(1, 0): 1, (None, 3): 1, (3, 15): 1, (7, 7 << 40): 7, (None, 7 << 50): None}
+    many = docs.union(spark.range(100, 15_100).select("id", F.lit("3")))
+    again = near_dedup.fingerprint_components(many).groupBy("component_id").count().collect()
+    assert {r["component_id"]: r["count"] for r in again} == {1: 15_003, 7: 1, None: 1}
 
 
 def test_near_duplicates_by_similarity(docs):
@@ -236,32 +279,42 @@ def test_near_duplicates_join_no_family_just_below(spark):
     assert found_components(spark, texts) == {i: i for i in range(169)}
 
 
-def test_near_duplicates_pass_over_no_pair_for_a_likelier_one(spark):
-    """A chain 1-2-4-3 of near copies of which the shard's forest holds 1-2, 3-4 and 1-3, the last likeliest and false."""
-    base = [f"b{k}" for k in range(408)]
-    edits = {1: range(10, 70, 20), 2: [], 3: range(110, 230, 20), 4: range(110, 170, 20)}
-    texts = [(k, " ".join(f"x{k % 2 if at < 100 else 0}{w}" if at in own else w for at, w in enumerate(base))) for k, own in edits.items()]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    candidates = spark.createDataFrame([(7, 1, 2, 0.85), (7, 3, 4, 0.86), (7, 1, 3, 0.9)], near_dedup.LINKS)
-    links = spark.createDataFrame([], "a long, b long")
-    _, close = near_dedup.accepted(candidates, links, links.toDF("node", "component"), docs, 5, 0.8)
-    assert {r["node"]: r["component"] for r in close.collect()} == {2: 1, 3: 1, 4: 1}
-
-
-def test_near_duplicates_joining_looks_at_every_pair_apart():
+def test_near_duplicates_join_by_any_pair_of_a_shard():
+    """Groups of one shard end up joined just where any pair of exact sets is as similar; known rows alone ask for nothing."""
     r = np.random.default_rng(3)
     sets = [np.sort(r.choice(60, r.integers(30, 50), replace=False)).astype("<u8") for _ in range(80)] + [np.array([], dtype="<u8")]
     group = np.array([k if k < 60 else 60 for k in range(81)])
-    union, want = near_dedup.Union(81), near_dedup.Union(81)
-    for k in range(60, 81):
-        union.join(60, k), want.join(60, k)
-    for i, j in near_dedup.joining(sets, group, 0.6):
-        assert len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])) and union.join(i, j)
-    for i in range(81):
-        for j in range(i):
-            if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])):
-                want.join(i, j)
-    assert [union.root(i) for i in range(81)] == [want.root(i) for i in range(81)]
+    for known in (0, 70):
+        union, want = near_dedup.Union(81), near_dedup.Union(81)
+        for k in range(60, 81):
+            union.join(60, k), want.join(60, k)
+        for i, j in near_dedup.spanning(np.zeros(81, dtype=np.int64), np.arange(81), sets, group, 0.6, known):
+            assert len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])) and union.join(i, j)
+        for i in range(known, 81):
+            for j in range(i):
+                if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j])):
+                    want.join(i, j)
+        assert [union.root(i) for i in range(81)] == [want.root(i) for i in range(81)]
+
+
+def test_near_duplicates_raise_where_a_shard_would_be_cut(spark):
+    rows = spark.createDataFrame([(1, 0, 1, k, k, k, bytes(8)) for k in range(40)], "key long, part long, asks int, fp long, node long, component long, shingles binary")
+    with pytest.raises(Exception, match="more than 16 texts"):
+        near_dedup.searched(rows, ["key", "part"], 16, 0.8).count()
+
+
+def test_near_duplicates_of_one_id_and_of_none(spark):
+    """Different texts under one id stay, as do all but copies among rows without one; extra columns may have any name."""
+    r = random.Random(31)
+    a, b, c, d = (" ".join(f"v{r.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(1, a, 0, "x"), (1, b, 1, "x"), (1, a, 2, "x"), (2, b + " more", 3, "y"), (None, c, 4, "z"), (None, c, 5, "z"), (None, d + " end", 6, "z"), (9, d, 7, "z"), (5, None, 8, "z"), (6, " ", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 int, component string")
+    for repeat in (1, 2):
+        some = docs if repeat == 1 else docs.union(docs)
+        out = near_dedup.deduplicated(some)
+        assert out.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+        assert got == sorted([(1, a), (1, b), (0, c), (9, d), (5, "")])
 
 
 def test_near_duplicates_that_repeat_a_phrase(spark):
