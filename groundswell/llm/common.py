@@ -38,8 +38,8 @@ def unused(df: DataFrame, name: str) -> str:
 HOT = 1000
 
 
-def joined(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """rows joined with facts, which has a row a key at most, where no task gets all rows of a hot key.
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts, which has a row a key at most, where no task gets all rows of a hot key.
 
     counts: keys and n, how many rows have the key (keys of few rows may be left out). Facts of hot keys, at most HOT
     rows, are broadcast; all others are joined by a shuffle, where a key has at most one in HOT rows.
@@ -47,10 +47,10 @@ def joined(rows: DataFrame, facts: DataFrame, keys: list[str], counts: DataFrame
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = [tuple(r) for r in counts.where(F.col("n") > max(total / HOT, 10_000)).select(*keys).collect()]  # at most HOT rows
     if not hot:
-        return rows.join(facts, keys)
-    named = rows.sparkSession.createDataFrame(hot, counts.select(*keys).schema)
-    few = facts.join(F.broadcast(named), keys, "left_semi")
-    return rows.join(F.broadcast(few), keys).unionByName(rows.join(F.broadcast(named), keys, "left_anti").join(facts, keys))
+        return rows.join(facts, keys, how)
+    named = F.broadcast(rows.sparkSession.createDataFrame(hot, counts.select(*keys).schema))
+    few = F.broadcast(facts.join(named, keys, "left_semi"))
+    return rows.join(named, keys, "left_semi").join(few, keys, how).unionByName(rows.join(named, keys, "left_anti").join(facts, keys, how))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

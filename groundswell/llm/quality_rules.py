@@ -1,11 +1,14 @@
 """Quality rules as a short-circuit cascade, native DataFrame expressions throughout.
 
-Each rule is a condition under which a document is rejected. Its selectivity (share rejected) and its cost
-(seconds a row) are measured on a sample; rules then run in order of rejection per cost, and a document meets
-no rule after the first that rejects it. The order never changes the verdict, only the work.
+Each rule is a condition under which a document is rejected. On a sample that is spread over the input, the cost of
+each measure (seconds a row, the least of repeated runs) and the rules that each row breaks are found out; rules then
+run in order of rejection per cost, each judged by the rows that those before it let pass and by the measures that are
+not known yet. A document meets no rule after the first that rejects it, and measures that only later rules read are
+not taken of it. The order never changes the verdict, only the work.
 
 Defined results: a null text has no words and is rejected for it; so are empty texts and those of white space
-alone. Nulls in other columns, repeated rows and extra columns pass through untouched.
+alone. Nulls in other columns, repeated rows and extra columns pass through untouched; a column that has the name given
+to the verdict, or to a measure, is replaced by it.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACES, let, scratch_path, table, words_of
+from .common import SPACES, let, scratch_path, table, unused, words_of
 
 WINDOW = 5
 SYMBOLS = "[#*$%&|<>]"
@@ -81,6 +84,8 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "n_lines": lambda text, words: F.size(worded_lines(text)).cast("long"),
     "n_repeat_words": lambda text, words: repeated_words(words),
 }
+#: Those that read the words; the first of them in a cascade pays for the split.
+OF_WORDS = ("n_words", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -107,72 +112,122 @@ RULES = BASE_RULES + MORE_RULES
 
 def with_measures(df: DataFrame, names: list[str], text: str = "text") -> DataFrame:
     """df and a column for each measure named."""
-    words = "__words"
+    words = unused(df, "words")
     base = df.withColumn(words, words_of(F.col(text)))
     return base.withColumns({n: MEASURES[n](F.col(text), F.col(words)) for n in names}).drop(words)
 
 
-def rejects(rule: Rule, text: Column, known: dict[str, Column] | None = None) -> Column:
+def rejects(rule: Rule, text: Column, words: Column, known: dict[str, Column] | None = None) -> Column:
     """The rule's condition; measures come from known columns, or else from the text, when the rule is reached."""
     known = known or {}
-    return rule.reject(*[known[m] if m in known else MEASURES[m](text, words_of(text)) for m in rule.measures])
+    return rule.reject(*[known[m] if m in known else MEASURES[m](text, words) for m in rule.measures])
 
 
-def sample_of(df: DataFrame, rows: int, files: int = 4) -> DataFrame:
-    """Up to so many rows, from a few of the input's files where it reads files directly: their names prune the scan."""
+def sample_of(df: DataFrame, text: str, rows: int, files: int = 8, seed: int = 17) -> DataFrame:
+    """Texts of about so many rows, drawn at random from a few of the input's files where it reads files directly: evenly spaced
+    by name, and their names prune the scan."""
     names = sorted({unquote(path.rsplit("/", 1)[-1]) for path in df.inputFiles()})
+    some = df
     if len(names) > files:
         try:
-            return df.where(F.col("_metadata.file_name").isin(names[:: len(names) // files][:files])).limit(rows)
+            some = df.where(F.col("_metadata.file_name").isin([names[len(names) * k // files] for k in range(files)]))
         except AnalysisException:  # the input is not a plain scan
             pass
-    return df.limit(rows)
+    return some.select(F.col(text).alias("text")).sample(min(1.0, rows / max(1, some.count())), seed=seed)
 
 
-def measured_order(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000) -> list[tuple[Rule, float, float]]:
-    """Rules by rejection per cost, each with its selectivity and its seconds a row, from sample_rows rows of the input.
-
-    The sample steers the order alone; no verdict depends on it.
-    """
+@dataclass(frozen=True)
+class Step:
+    """A rule in its place: the share that it rejects of what comes to it, and the seconds a row that it adds."""
+
+    rule: Rule
+    share: float
+    cost: float
+
+
+def measured_costs(sample: DataFrame, names: list[str], rows: int, repeats: int = 3) -> dict[str, float]:
+    """Seconds a row of the split into words, and of each measure beyond that and beyond reading the text."""
+
+    def seconds(*values: Column) -> float:
+        took = []
+        for _ in range(repeats):
+            began = time.perf_counter()
+            sample.agg(*[F.sum(v) for v in values]).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    text, words = F.col("text"), words_of(F.col("text"))
+    base = seconds(F.char_length(text))
+    split = seconds(F.size(words))
+    found = {"words": max(0.0, split - base)}
+    for n in names:
+        found[n] = max(0.0, seconds(MEASURES[n](text, words)) - (split if n in OF_WORDS else base))
+    return {n: c / max(1, rows) for n, c in found.items()}
+
+
+def ordered(rules: tuple[Rule, ...], broken: list[tuple[tuple[bool, ...], int]], costs: dict[str, float], known: tuple[str, ...] = ()) -> list[Step]:
+    """Rules by rejection per cost. broken: which rules are broken together, and by how many rows; known: measures that are there."""
+    left, out, have = list(range(len(rules))), [], set(known)
+
+    def added(rule: Rule) -> float:
+        new = set(rule.measures) - have
+        return sum(costs.get(m, 0.0) for m in new) + (costs.get("words", 0.0) if "words" not in have and new & set(OF_WORDS) else 0.0)
+
+    while left:
+        rows = sum(n for _, n in broken)
+        steps = [(Step(rules[k], sum(n for b, n in broken if b[k]) / max(1, rows), added(rules[k])), k) for k in left]
+        step, k = min(steps, key=lambda x: (-x[0].share / max(x[0].cost, 1e-9), x[0].cost, x[0].rule.name))
+        out.append(step)
+        left.remove(k)
+        broken = [(b, n) for b, n in broken if not b[k]]
+        have |= set(step.rule.measures) | ({"words"} if set(step.rule.measures) & set(OF_WORDS) else set())
+    return out
+
+
+def measured_order(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, known: tuple[str, ...] = ()) -> list[Step]:
+    """Rules by rejection per cost, from about sample_rows rows of the input. It steers the order alone; no verdict depends on it."""
     spark = df.sparkSession
     path = scratch_path(spark, "rule-sample")
-    sample_of(df, sample_rows).select(F.col(text).alias("text")).write.parquet(path)
+    sample_of(df, text, sample_rows).write.parquet(path)
     sample = spark.read.schema("text string").parquet(path)
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        n, bad = sample.agg(F.count(F.lit(1)), F.count_if(rejects(rule, F.col("text")))).first()
-        found.append((rule, bad / max(1, n), (time.perf_counter() - began) / max(1, n)))
-    return sorted(found, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))
+    flags = [f"r{k}" for k in range(len(rules))]
+    judged = sample.select(*[F.coalesce(rejects(r, F.col("text"), words_of(F.col("text"))), F.lit(False)).alias(f) for r, f in zip(rules, flags, strict=True)])
+    broken = [(tuple(r[f] for f in flags), r["n"]) for r in judged.groupBy(*flags).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 2**rules rows
+    names = sorted({m for r in rules for m in r.measures} - set(known))
+    return ordered(rules, broken, measured_costs(sample, names, sum(n for _, n in broken)), known)
 
 
-def first_rejection(order: list[Rule], text: Column, known: dict[str, Column] | None = None) -> Column:
+def first_rejection(order: list[Rule], text: Column, words: Column, known: dict[str, Column] | None = None) -> Column:
     """The name of the first rule in this order that rejects, else null; CASE stops at the first."""
     out = None
     for rule in order:
-        condition = rejects(rule, text, known)
+        condition = rejects(rule, text, words, known)
         out = F.when(condition, F.lit(rule.name)) if out is None else out.when(condition, F.lit(rule.name))
     return out if out is not None else F.lit(None).cast("string")
 
 
-def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, verdict: str = "rejected_by") -> DataFrame:
-    """df and a column that names the rule which rejected the document, null for those kept."""
-    order = [r for r, _, _ in measured_order(df, rules, text, sample_rows)]
-    return df.withColumn(verdict, first_rejection(order, F.col(text)))
+def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000, verdict: str = "rejected_by", known: tuple[str, ...] = (), order: list[Rule] | None = None) -> DataFrame:
+    """df and a column that names the rule which rejected the document, null for those kept. known: measures that df has as
+    columns of their names; all others are taken where a rule asks for them. order: instead of the measured one."""
+    order = order if order is not None else [s.rule for s in measured_order(df, rules, text, sample_rows, known)]
+    words = unused(df, "words")
+    lazily = any((set(r.measures) - set(known)) & set(OF_WORDS) for r in rules)
+    with_words = df.withColumn(words, words_of(F.col(text))) if lazily else df
+    return with_words.withColumn(verdict, first_rejection(order, F.col(text), F.col(words), {k: F.col(k) for k in known})).drop(words)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document, whether the base fails it, and the cascade's verdict.
 
-    The query returns all base measures, so the cascade reads those instead of measuring again.
+    The query returns five measures of every document, so the cascade has those as columns; what other rules need it
+    takes only of documents that come to them.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    order = [r for r, _, _ in measured_order(docs)]
-    names = list(MEASURES)
-    known = with_measures(docs, names).select("doc_id", *names)
-    columns = {n: F.col(n) for n in names}
-    failed = first_rejection(list(BASE_RULES), F.lit(None), columns).isNotNull()
-    return known.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), first_rejection(order, F.lit(None), columns).isNull().alias("kept"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    order = [s.rule for s in measured_order(docs, known=names)]
+    judged = quality_rules(with_measures(docs, list(names)), known=names, order=order)
+    failed = first_rejection(list(BASE_RULES), F.lit(None), F.lit(None), {n: F.col(n) for n in names}).isNotNull()
+    return judged.select("doc_id", *names, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 OP8_SQL = r"""

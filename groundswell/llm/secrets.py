@@ -15,7 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import let, table
+from .common import let, table, unused
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,19 +48,30 @@ PROSE_WORDS = (
 ).split()
 
 
-def prefix_sums(values: Column, block: int = 512) -> Column:
-    """Exclusive running sums of an array of longs, in blocks, so that long arrays are not copied for each element."""
+def running(values: Column, step, zero: int = 0, block: int = 512) -> Column:  # noqa: ANN001
+    """Exclusive running results of an array of longs under an associative step, such as sum or maximum; in blocks, so that
+    long arrays are not copied for each element."""
+    start_at = F.lit(zero).cast("long")
 
     def scan(a: Column, base: Column) -> Column:
         start = F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(a, start, lambda s, v: F.struct((s["at"] + v).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+        return F.aggregate(a, start, lambda s, v: F.struct(step(s["at"], v).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
 
     def by_blocks(a: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: F.slice(a, b * block + 1, block))
-        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda x, y: x + y))
-        return let(parts, lambda ps: F.flatten(F.zip_with(ps, scan(sums, F.lit(0).cast("long")), lambda p, base: scan(p, base))))
+        whole = F.transform(parts, lambda p: F.aggregate(p, start_at, step))
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, scan(whole, start_at), lambda p, base: scan(p, base))))
 
-    return let(values, lambda a: F.when(F.size(a) == 0, F.array().cast("array<bigint>")).when(F.size(a) <= block, scan(a, F.lit(0).cast("long"))).otherwise(by_blocks(a)))
+    return let(values, lambda a: F.when(F.size(a) == 0, F.array().cast("array<bigint>")).when(F.size(a) <= block, scan(a, start_at)).otherwise(by_blocks(a)))
+
+
+def prefix_sums(values: Column) -> Column:
+    return running(values, lambda x, y: x + y)
+
+
+def reached(values: Column) -> Column:
+    """The largest of the values before each, 0 before the first."""
+    return running(values, lambda x, y: F.greatest(x, y))
 
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,hit:string>>"
@@ -155,9 +166,21 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     )
 
 
+def uncovered(base: Column, tokens: Column) -> Column:
+    """Tokens that lie in no base span. All spans in one order, a base span before a token that begins with it: a token is
+    covered if a base span before it reaches its end."""
+
+    def apart(every: Column) -> Column:
+        stops = F.transform(every, lambda s: F.when(s["kind"] < 3, s["stop"]).otherwise(F.lit(0).cast("long")))
+        marked = F.zip_with(every, reached(stops), lambda s, far: F.when((s["kind"] == 3) & (far < s["stop"]), s))
+        return F.filter(marked, lambda s: s.isNotNull())
+
+    return F.when(F.size(base) == 0, tokens).otherwise(let(F.sort_array(F.concat(base, tokens)), apart))
+
+
 def random_spans(text: Column, base: Column, model: list[float], threshold: float) -> Column:
     """Tokens, other than those within a base span, that the models take for random strings."""
-    tokens = F.filter(spans_of(text, TOKEN, 3), lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["stop"] <= b["stop"])))
+    tokens = uncovered(base, spans_of(text, TOKEN, 3))
     return F.filter(tokens, lambda s: likelihood_ratio(s["hit"], model) >= threshold * F.greatest(F.lit(1.0), WHOLE / F.char_length(s["hit"])))
 
 
@@ -168,21 +191,34 @@ def with_secrets(df: DataFrame, samples: DataFrame | None = None, threshold: flo
     return df.withColumn(base, base_spans(whole)).withColumn(extra, random_spans(whole, F.col(base), model, threshold))
 
 
-def redacted(df: DataFrame, mask: str = "[SECRET]", text: str = "text", **options: object) -> DataFrame:
-    """df with every secret in its text replaced by mask; overlapping spans are replaced as one. Null stays null."""
-    base, extra = "__base_spans", "__random_spans"
-    found = with_secrets(df, text=text, base=base, extra=extra, **options)
-    spans = F.sort_array(F.concat(F.col(base), F.col(extra)))
-    body = F.col(text)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+CHUNK = 4096  # code points; a text is cut into chunks, so that no cut looks for its place from the beginning
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with mask in place of each span; overlapping spans are replaced as one. Work is linear in text and spans."""
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def rebuilt(chunk: Column, every: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor((b - 1) / CHUNK).cast("int")
+            piece = F.substr(F.array_join(F.slice(chunk, first + 1, last - first + 1), ""), (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+            return F.when(b > a, piece).otherwise(F.lit(""))
 
-    def step(s: Column, x: Column) -> Column:
-        piece = F.concat(F.substr(body, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int")), F.when(x["start"] >= s["at"], F.lit(mask)).otherwise(F.lit("")))
-        return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.array_append(s["parts"], piece).alias("parts"))
+        before = reached(F.transform(every, lambda s: s["stop"]))
+        pieces = F.zip_with(every, before, lambda s, at: F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.lit(mask))).otherwise(F.lit("")))
+        rest = cut(F.array_max(F.transform(every, lambda s: s["stop"])), F.char_length(text).cast("long"))
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    rebuilt = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(body, (s["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return let(chunks, lambda chunk: let(spans, lambda every: rebuilt(chunk, every)))
+
+
+def redacted(df: DataFrame, mask: str = "[SECRET]", text: str = "text", **options: object) -> DataFrame:
+    """df with every secret in its text replaced by mask. Null stays null; a text without spans stays as it is."""
+    base, extra = unused(df, "base_spans"), unused(df, "random_spans")
+    found = with_secrets(df, text=text, base=base, extra=extra, **options)
     clean = (F.size(base) == 0) & (F.size(extra) == 0)
-    return found.withColumn(text, F.when(clean, body).otherwise(rebuilt)).drop(base, extra)
+    out = F.when(clean, F.col(text)).otherwise(masked(F.col(text), F.sort_array(F.concat(base, extra)), mask))
+    return found.withColumn(text, out).drop(base, extra)
 
 
 def listed(spans: Column) -> Column:
