@@ -532,27 +532,69 @@ def test_op8_clashing_columns_and_nulls(spark):
 
 def test_op9_archives_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 20
-    rows = [(1, "http://a/\r\nx", big), (2, "http://b", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "n", big), (7, "u", big + "!"), (2, "http://b", big)]
+    rows = [(1, "http://a/\r\nx", big), (2, "http://b", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "n", big), (7, "u", big + "!"), (2, "http://b", big), (2, "http://c", big), (8, "u", "x" * 300_000), (9, "v", "x" * 300_000), (4, "u", "small"), (None, None, None), (None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "pages.parquet"))
     got = collections.Counter(map(tuple, warc.op9_warc(spark, str(tmp_path)).collect()))
     want = collections.Counter()
     for p, _, h in rows:
         b = (h or "").encode()
-        again = h == big and p != 1
-        want[p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", 1 if again else None] += 1
+        first = 1 if h == big and p != 1 else 8 if p == 9 else None
+        want[p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if first else "response", first] += 1
     assert got == want
     path = str(tmp_path / "w")
     warc.write_archives(pages.limit(0), path)
     assert warc.resolved(warc.assembled(warc.read_records(spark, path))).count() == 0
 
 
+def test_op9_equal_rows_have_one_response(spark, tmp_path):
+    rows = spark.range(12_000).select(F.lit(5).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("y" * 200).alias("html"), F.lit(1).alias("k1"), F.lit("d").alias("digest"))
+    rows = rows.union(spark.range(100, 12_100).select("id", F.lit("u"), F.lit("z" * 150), F.lit(2), F.lit("d")))
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op9_warc(spark, str(tmp_path)).groupBy("record_type", "payload_bytes", "refers_to").count().collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("response", 200, None, 1), ("revisit", 200, 5, 11_999), ("response", 150, None, 1), ("revisit", 150, 100, 11_999)], key=str)
+    rows.limit(0).write.mode("overwrite").parquet(str(tmp_path / "pages.parquet"))
+    assert warc.op9_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_op9_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE", 40_000)
+    monkeypatch.setattr(warc, "FILE_MOST", 60_000)
+    pages = spark.createDataFrame([(i, "u", f"{i}" + "x" * (20 if i % 9 else 15_000)) for i in range(120)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "w"))
+    import glob
+    import gzip
+
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(str(tmp_path / "w/*/*.gz"))]
+    assert len(sizes) > 4 and max(sizes) < 66_000
+
+
+def test_op9_nests_all_records_of_a_capture(spark, tmp_path):
+    """A hand-made archive: two requests and two metadata records of one capture, one that names two captures, a capture that
+    names its request, a record alone, and a revisit of what is not there."""
+    import gzip
+
+    def made(kind, name, *concurrent, body=b"", more=()):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *[f"WARC-Concurrent-To: <{c}>" for c in concurrent], *more, f"Content-Length: {len(body)}"]
+        return ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    raw = made("warcinfo", "i") + made("response", "a", body=b"HTTP/1.1 200 OK\r\n\r\nhello") + made("request", "q1", "a") + made("request", "q2", "a") + made("metadata", "m2", "a", body=b"page-id: 4\r\n") + made("metadata", "m1", "a", "b", body=b"page-id: 3\r\n")
+    raw += made("revisit", "b", "q3", more=["WARC-Refers-To: <gone>"]) + made("request", "q3") + made("metadata", "alone", "nowhere") + made("request", "none")
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "x.warc.gz").write_bytes(gzip.compress(raw))
+    done = warc.assembled(warc.read_records(spark, str(tmp_path / "w"), payload=True)).collect()
+    got = {r["capture_id"]: ([x["record_id"] for x in r["requests"]], [(x["record_id"], x["page_id"]) for x in r["metadata"]]) for r in done}
+    assert got == {"<a>": (["<q1>", "<q2>"], [("<m1>", 3), ("<m2>", 4)]), "<b>": (["<q3>"], [("<m1>", 3)])}
+    out = {tuple(r) for r in warc.resolved(warc.assembled(warc.read_records(spark, str(tmp_path / "w")))).collect()}
+    assert out == {(3, 5, hashlib.sha256(b"hello").hexdigest(), "response", None), (3, None, None, "revisit", None)}
+
+
 def test_op9_payloads_come_back(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "héllo\r\n"), (2, "v", "")], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"))
-    one = {r["metadata"]["page_id"]: r for r in warc.assembled(warc.read_records(spark, str(tmp_path / "w"), payload=True)).collect()}
+    one = {r["metadata"][0]["page_id"]: r for r in warc.assembled(warc.read_records(spark, str(tmp_path / "w"), payload=True)).collect()}
     assert bytes(one[1]["capture"]["payload"]).decode() == "héllo\r\n" and one[2]["capture"]["payload_bytes"] == 0
-    assert one[1]["request"]["warc_type"] == "request"
+    assert one[1]["requests"][0]["warc_type"] == "request"
 
 
 def spark_hash(seed, *values):
