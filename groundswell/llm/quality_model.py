@@ -6,8 +6,9 @@ sample of labelled documents, at most so many of each label, chosen by a hash of
 sparse dot product of its features with the weights. The sample, and hence the driver's work, is bounded; the weights
 have a fixed size and ship with the tasks.
 
-Defined results: null and empty texts have no features, so their score is that of the bias. Labels other than 0 and 1
-and documents without a label or an id are not learnt from. Repeated rows are scored alike.
+Defined results: null and empty texts have no features, so their score is that of the bias. Labels other than 0 and 1,
+ids with both labels and documents without a label or an id are not learnt from; of an id's texts the smallest counts.
+Repeated rows are scored alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -86,14 +87,14 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, most: int) -> list[tuple[str, int]]:
-    """At most `most` texts of each label, from documents that may be learnt from, those of the smallest hashes of their ids."""
-    chosen = []
-    usable = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & may_learn & F.col("y").isin(0, 1)).dropDuplicates(["id"])
-    for y in (0, 1):
-        chosen.append(usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most))
-    picked = chosen[0].union(chosen[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").collect()  # at most 2 * most rows
-    return [(r["text"] or "", r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))]
+    """At most `most` texts of each label, from documents that may be learnt from, those of the smallest hashes of their ids.
+    An id with both labels is left out; of an id's texts the smallest counts, so that no id brings more than one."""
+    usable = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & may_learn & F.col("y").isin(0, 1))
+    usable = usable.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("id", "y")
+    zeros, ones = (usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1))
+    met = docs.select("doc_id", "text").join(F.broadcast(zeros.union(ones)), F.col("doc_id") == F.col("id"))  # at most 2 * most ids
+    rows = met.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).collect()  # a row an id
+    return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:

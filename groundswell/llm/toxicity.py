@@ -1,17 +1,21 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Each word enters as the vector of its hashed bucket (word input) beside the sum, by the root of their number, of its hashed
-four-byte grams' vectors
-(character input). Two recurrent passes read a window of words, attention pools their states, and a logistic unit
-scores the window. All overlapping windows of a whole text are scored; the text's score is its likeliest window's.
+four-byte grams' vectors (character input). Two recurrent passes read the text, each word's state in the light of the
+CONTEXT to CONTEXT + WINDOW - 1 words before it (or after it, for the pass that comes back): the text is read in
+stretches of WINDOW words, each begun CONTEXT words early. Attention then pools the states of every window of WINDOW
+words, one beginning at each word, and a logistic unit scores the window; the text's score is its likeliest window's.
+As the unit is linear, a window's score is a ratio of sums of two numbers a word, so that all overlapping windows of a
+whole text cost little more than its states.
 
 Training knows only whether a document is toxic: it learns from the likeliest window of each toxic document, and from
 the likeliest and some random windows of the others, chosen anew as the network improves; the first choice follows
 the log-odds of buckets. Labelled documents are a sample of at most SAMPLE of each label, by a hash of the id. The
 network has a fixed size and ships with the tasks.
 
-Defined results: a null or empty text is one window without words, scored like any. Labels other than 0 and 1 and
-documents without a label or an id are not learnt from. Repeated rows are scored alike.
+Defined results: a null or empty text is one window without words, scored like any; a text of fewer words than a window
+is one window. Labels other than 0 and 1, ids with both labels and documents without a label or an id are not learnt
+from; of an id's texts the smallest counts. Repeated rows are scored alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import parts, table
 from .quality_model import in_fold, labelled_texts
 
-WINDOW, STRIDE = 24, 12
+WINDOW, CONTEXT = 24, 8
+LENGTH = WINDOW + 2 * CONTEXT
+FORTH, BACK = range(LENGTH - CONTEXT), range(LENGTH - 1, CONTEXT - 1, -1)
+POOLED = slice(CONTEXT, CONTEXT + WINDOW)
 WORD_BUCKETS, WORD_SIZE = 8192, 8
 GRAMS, CHAR_SIZE = 32768, 12
 HIDDEN, ATTENTION = 12, 8
-SAMPLE = 1000
+SAMPLE = 1200
 REMEMBERED = 150_000
 FADE = 0.01
 MARKS = ".,;:!?\"'()[]#*$%&|<>-"
@@ -56,12 +63,10 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, ((mixed >> np.uint32(8)) % np.uint32(GRAMS)).astype(np.int64), firsts
 
 
-def windows(n: int) -> np.ndarray:
-    """Word indexes of each window of a text of n words, -1 beyond its end; the last window ends with the text."""
-    if n <= WINDOW:
-        return np.where(np.arange(WINDOW) < n, np.arange(WINDOW), -1)[None]
-    starts = np.unique(np.append(np.arange(0, n - WINDOW + 1, STRIDE), n - WINDOW))
-    return starts[:, None] + np.arange(WINDOW)
+def stretch(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Word indexes from CONTEXT words before each start on, LENGTH of them; -1 outside a text of n words."""
+    at = start[:, None] + np.arange(-CONTEXT, LENGTH - CONTEXT)
+    return np.where((at >= 0) & (at < n[:, None]), at, -1)
 
 
 # --- network ----------------------------------------------------------------------------------------------------
@@ -89,7 +94,7 @@ def vectors(net: Net, bucket: np.ndarray, grams: np.ndarray, firsts: np.ndarray)
 def recurrent(pre: list[np.ndarray], live: np.ndarray, u: np.ndarray, order: range) -> tuple[np.ndarray, list]:
     """States after each word, and what the way back needs. pre: by word, the input's share of the three gates."""
     n = HIDDEN
-    h, states, trace = np.zeros((len(live), n), np.float32), np.zeros((len(live), WINDOW, n), np.float32), []
+    h, states, trace = np.zeros((len(live), n), np.float32), np.zeros((len(live), LENGTH, n), np.float32), []
     for t in order:
         x, hu, m = pre[t], h @ u, live[:, t, None]
         g = sigmoid(x[:, : 2 * n] + hu[:, : 2 * n])
@@ -110,15 +115,65 @@ def pooled(net: Net, states: np.ndarray, live: np.ndarray) -> tuple[np.ndarray,
     return pool @ net["out"] + net["bias"], a, share, pool
 
 
-def logits(net: Net, gates: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Of windows of rows of gates (both passes' input shares, by word); -1 stands for no word."""
-    n, live, out = 3 * HIDDEN, rows >= 0, []
-    for at in range(0, len(rows), 2048):
-        part, m = rows[at : at + 2048].T, live[at : at + 2048]
-        pre = [gates[p] for p in part]
-        both = [recurrent([p[:, k * n : (k + 1) * n] for p in pre], m, net[f"u{way}"], order)[0] for k, (way, order) in enumerate((("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))))]
-        out.append(pooled(net, np.concatenate(both, 2), m)[0])
-    return np.concatenate(out)
+def word_scores(net: Net, gates: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For all words of docs (rows of gates), end to end: attention before its exponent, and the logistic unit's share."""
+    n, size = 3 * HIDDEN, np.array([len(d) for d in docs], dtype=np.int64)
+    flat = np.append(np.concatenate(docs) if docs else [], -1).astype(np.int64)
+    each = -(-size // WINDOW)
+    doc = np.repeat(np.arange(len(docs)), each)
+    start = (np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)) * WINDOW
+    first = (np.cumsum(size) - size)[doc]
+    pull, share = np.zeros(len(flat) - 1), np.zeros(len(flat) - 1)
+    for at in range(0, len(doc), 2048):
+        some = slice(at, at + 2048)
+        inside = stretch(start[some], size[doc[some]])
+        live = inside >= 0
+        rows = np.where(live, flat[first[some, None] + np.maximum(inside, 0)], -1).T
+        states = []
+        for k, (way, order) in enumerate((("f", FORTH), ("b", BACK))):
+            pre = {t: gates[rows[t], k * n : (k + 1) * n] for t in order}
+            states.append(recurrent(pre, live, net[f"u{way}"], order)[0][:, POOLED])
+        h = np.concatenate(states, 2)
+        own, place = live[:, POOLED], (first[some, None] + inside[:, POOLED])
+        pull[place[own]] = (np.tanh(h @ net["att"]) @ net["pick"])[own]
+        share[place[own]] = (h @ net["out"])[own]
+    return pull, share
+
+
+def sliding(x: np.ndarray, combine) -> np.ndarray:  # noqa: ANN001
+    """combine over each WINDOW (24) values running, by runs of 1, 2, 4, 8 and 16."""
+    run = x
+    for k in (1, 2, 4):
+        run = combine(run[:-k], run[k:])
+    both = combine(run[:-8], run[8:])
+    return combine(both[:-8], run[16:])
+
+
+def window_starts(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end, each at least a window long: where each begins, how many windows each has, and all windows' starts."""
+    room = np.maximum(size, WINDOW)
+    begin, windows = np.cumsum(room) - room, room - WINDOW + 1
+    starts = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begin, windows)
+    return begin, windows, starts
+
+
+def laid_out(values: np.ndarray, size: np.ndarray, begin: np.ndarray, blank: float) -> np.ndarray:
+    """A number a word, at its place in the layout of window_starts."""
+    out = np.full(int(np.maximum(size, WINDOW).sum()), blank)
+    out[np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)] = values
+    return out
+
+
+def window_logits(net: Net, gates: np.ndarray, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of every text, end to end; and where each text's begin."""
+    size = np.array([len(d) for d in docs], dtype=np.int64)
+    begin, windows, starts = window_starts(size)
+    pull, share = word_scores(net, gates, docs)
+    pull = laid_out(pull, size, begin, -np.inf)
+    top = np.maximum.reduceat(pull, begin)
+    e = np.exp(pull - np.repeat(np.where(np.isfinite(top), top, 0), np.maximum(size, WINDOW)))
+    total = sliding(e, np.add)[starts]
+    return sliding(e * laid_out(share, size, begin, 0.0), np.add)[starts] / np.maximum(total, 1e-30) + float(net["bias"][0]), np.cumsum(windows) - windows
 
 
 def gates_of(net: Net, x: np.ndarray) -> np.ndarray:
@@ -126,14 +181,14 @@ def gates_of(net: Net, x: np.ndarray) -> np.ndarray:
 
 
 def gradients(net: Net, x: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[Net, np.ndarray, float]:
-    """Of the weighted logistic loss: by parameter, and by input vector x (windows, words, size)."""
+    """Of the weighted logistic loss: by parameter, and by input vector x (windows with their context, words, size)."""
     n, g = HIDDEN, {}
     passes = {}
-    for way, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
+    for way, order in (("f", FORTH), ("b", BACK)):
         pre = x @ net[f"w{way}"] + net[f"c{way}"]
-        passes[way] = recurrent([pre[:, t] for t in range(WINDOW)], live, net[f"u{way}"], order)
-    states = np.concatenate([passes["f"][0], passes["b"][0]], 2)
-    score, a, share, pool = pooled(net, states, live)
+        passes[way] = recurrent([pre[:, t] for t in range(LENGTH)], live, net[f"u{way}"], order)
+    states = np.concatenate([passes["f"][0], passes["b"][0]], 2)[:, POOLED]
+    score, a, share, pool = pooled(net, states, live[:, POOLED])
     p = sigmoid(score)
     loss = float(-(weight * np.log(np.where(y == 1, p, 1 - p) + 1e-7)).sum())
     d = (weight * (p - y)).astype(np.float32)
@@ -148,10 +203,11 @@ def gradients(net: Net, x: np.ndarray, live: np.ndarray, y: np.ndarray, weight:
     d_states += d_a @ net["att"].T
     d_x = np.zeros_like(x)
     for k, way in enumerate("fb"):
-        u, d_pre = net[f"u{way}"], np.zeros((len(x), WINDOW, 3 * n), np.float32)
+        u, d_pre = net[f"u{way}"], np.zeros((len(x), LENGTH, 3 * n), np.float32)
         d_h, d_u = np.zeros((len(x), n), np.float32), np.zeros_like(u)
         for t, h, z, r, new, hu in reversed(passes[way][1]):
-            d_h += d_states[:, t, k * n : (k + 1) * n]
+            if CONTEXT <= t < CONTEXT + WINDOW:
+                d_h += d_states[:, t - CONTEXT, k * n : (k + 1) * n]
             m = live[:, t, None]
             d_out = d_h * m
             d_n = d_out * (1 - z) * (1 - new * new)
@@ -203,21 +259,22 @@ def train(examples: list[tuple[str, int]], rounds: int = 5, epochs: int = 1, bat
     del gram_at, owner, own_word
     net["word"][:, 0], net["char"][:, 0] = word_odds, gram_odds
     hint = word_odds[bucket] + np.maximum.reduceat(gram_odds[grams], firsts)
-    rows = [np.append(d, -1)[windows(len(d))] for d in docs]
-    flat, doc_of = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(len(docs)), [len(r) for r in rows])
-    starts = np.cumsum([len(r) for r in rows]) - [len(r) for r in rows]
-    del rows
-    scores = np.where(flat >= 0, hint[flat], -9).max(1)
+    sizes_of = np.array([len(d) for d in docs], dtype=np.int64)
+    text, text_begin = np.append(np.concatenate(docs), -1), np.cumsum(sizes_of) - sizes_of
+    begin, per_doc, places = window_starts(sizes_of)
+    doc_of, starts = np.repeat(np.arange(len(docs)), per_doc), np.cumsum(per_doc) - per_doc
+    start_of = places - begin[doc_of]
+    clean = np.flatnonzero(y[doc_of] == 0)
+    scores = sliding(laid_out(hint[text[:-1]], sizes_of, begin, -9.0), np.maximum)[places] + 1e-6 * rng.random(len(places))
     start = {k: np.zeros_like(net[k]) for k in ("word", "char")}
     start["word"][:, 0], start["char"][:, 0] = word_odds, gram_odds
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.items()}
     steps = 0
     for turn in range(rounds):
         if turn:
-            scores = logits(net, np.vstack([gates_of(net, vectors(net, bucket, grams, firsts)), np.zeros((1, 6 * HIDDEN), np.float32)]), flat)
-        by_doc = np.lexsort((-scores, doc_of))
-        best = by_doc[starts]
-        clean = np.flatnonzero(y[doc_of] == 0)
+            scores, _ = window_logits(net, np.vstack([gates_of(net, vectors(net, bucket, grams, firsts)), np.zeros((1, 6 * HIDDEN), np.float32)]), docs)
+        top = np.flatnonzero(scores == np.repeat(np.maximum.reduceat(scores, starts), per_doc))
+        best = top[np.unique(doc_of[top], return_index=True)[1]]  # the first of each text's likeliest
         some = rng.choice(clean, min(len(clean), 4 * int((y == 0).sum())), replace=False)
         chosen = np.unique(np.concatenate([best, some]))
         target = y[doc_of[chosen]]
@@ -226,8 +283,10 @@ def train(examples: list[tuple[str, int]], rounds: int = 5, epochs: int = 1, bat
             order = rng.permutation(len(chosen))
             for at in range(0, len(order), batch):
                 k = order[at : at + batch]
-                ids = flat[chosen[k]]
-                live = ids >= 0
+                own_doc = doc_of[chosen[k]]
+                inside = stretch(start_of[chosen[k]], sizes_of[own_doc])
+                live = inside >= 0
+                ids = np.where(live, text[text_begin[own_doc][:, None] + np.maximum(inside, 0)], -1)
                 used, inverse = np.unique(np.maximum(ids, 0), return_inverse=True)
                 own = np.concatenate([grams[firsts[w] : firsts[w] + sizes[w]] for w in used])
                 begin = np.cumsum(sizes[used]) - sizes[used]
@@ -282,9 +341,8 @@ class Scorer:
         index = self.index
         if new := list({w for ws in words for w in ws if w not in index}):
             self.learn(new)
-        rows = [np.append(np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws)), -1)[windows(len(ws))] for ws in words]
-        starts = np.cumsum([len(r) for r in rows]) - [len(r) for r in rows]
-        return sigmoid(np.maximum.reduceat(logits(self.net, self.gates, np.concatenate(rows)), starts).astype(np.float64))
+        scores, starts = window_logits(self.net, self.gates, [np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in words])
+        return sigmoid(np.maximum.reduceat(scores, starts))
 
 
 def scored(docs: DataFrame, net: Net) -> DataFrame:

@@ -422,9 +422,9 @@ def test_op5_held_out(spark, labelled):
 def test_op5_gradients():
     net = {k: v.astype(np.float64) for k, v in toxicity.fresh().items()}
     r = np.random.default_rng(0)
-    x = r.normal(size=(2, toxicity.WINDOW, toxicity.WORD_SIZE + toxicity.CHAR_SIZE))
-    live = np.ones((2, toxicity.WINDOW), dtype=bool)
-    live[1, 5:] = False
+    x = r.normal(size=(2, toxicity.LENGTH, toxicity.WORD_SIZE + toxicity.CHAR_SIZE))
+    live = np.ones((2, toxicity.LENGTH), dtype=bool)
+    live[1, 15:] = live[1, :4] = False
     y, w = np.array([1.0, 0.0]), np.array([1.0, 2.0])
     g, _, _ = toxicity.gradients(net, x, live, y, w)
     for name in ("uf", "wb", "att", "pick", "out", "cb"):
@@ -437,6 +437,61 @@ def test_op5_gradients():
         assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(g[name][at], rel=0.02, abs=1e-5)
 
 
+def naive_toxicity(net, text):
+    """Word by word and window by window, without vectors of texts, layouts or running sums."""
+    words, n = text.split(), toxicity.HIDDEN
+    x = [toxicity.vectors(net, *toxicity.word_inputs([w]))[0].astype(np.float64) for w in words]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def read(order, way):
+        h, out = np.zeros(n), {}
+        for t in order:
+            g, hu = x[t] @ net[f"w{way}"] + net[f"c{way}"], h @ net[f"u{way}"]
+            z, r = sig(g[:n] + hu[:n]), sig(g[n : 2 * n] + hu[n : 2 * n])
+            h = (1 - z) * np.tanh(g[2 * n :] + r * hu[2 * n :]) + z * h
+            out[t] = h
+        return out
+
+    states = {}
+    for a in range(0, len(words), toxicity.WINDOW):
+        own = range(a, min(len(words), a + toxicity.WINDOW))
+        forth = read(range(max(0, a - toxicity.CONTEXT), own[-1] + 1), "f")
+        back = read(range(min(len(words), a + toxicity.WINDOW + toxicity.CONTEXT) - 1, a - 1, -1), "b")
+        states |= {t: np.concatenate([forth[t], back[t]]) for t in own}
+    best = -np.inf if words else float(net["bias"][0])
+    for a in range(max(1, len(words) - toxicity.WINDOW + 1) if words else 0):
+        h = np.array([states[t] for t in range(a, min(len(words), a + toxicity.WINDOW))])
+        e = np.exp(np.tanh(h @ net["att"]) @ net["pick"])
+        best = max(best, float((e / e.sum()) @ h @ net["out"] + net["bias"][0]))
+    return sig(best)
+
+
+def test_op5_scores_against_a_loop():
+    net = toxicity.fresh(5)
+    net["out"], net["bias"] = 3 * net["out"], net["bias"] + np.float32(0.3)
+    texts = [prose(n) for n in (1, 5, 23, 24, 25, 47, 48, 49, 120, 700)] + ["", None, " \n "]
+    got = toxicity.Scorer(net).scores(texts)
+    assert got == pytest.approx([naive_toxicity(net, t or "") for t in texts], abs=2e-6)
+    assert len(set(np.round(got, 6))) > 9
+
+
+def test_op5_a_very_long_text_and_a_toxic_word_anywhere(spark, labelled):
+    long = prose(60_000).split()
+    net = toxicity.train(quality_model.labelled_texts(spark.read.parquet(f"{labelled}/documents.parquet"), spark.read.parquet(f"{labelled}/labels.parquet"), "toxic", F.lit(True), 200))
+    bad = [" ".join([*long[:at], "vorrkize", *long[at:]]) for at in (0, 17, 31_234, 60_000)]
+    scores = toxicity.Scorer(net).scores([" ".join(long), *bad])
+    assert scores[0] < 0.7 and min(scores[1:]) > scores[0]
+
+
+def test_op5_op7_learn_from_a_bounded_number_of_rows(spark):
+    docs = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    docs = docs.union(spark.range(2, 60).select("id", F.lit("u")))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, None), (5, 7), (None, 1), *[(i, i % 2) for i in range(6, 60)]], "doc_id long, toxic int")
+    got = quality_model.labelled_texts(docs, labels, "toxic", F.lit(True), 10)
+    assert len(got) == 20 and sum(y for _, y in got) == 10
+    assert ("t0", 1) in quality_model.labelled_texts(docs, labels, "toxic", F.lit(True), 100)
+
+
 def test_op6_neighbours(spark, tmp_path):
     r = np.random.default_rng(4)
     v = r.normal(size=(300, 8))
@@ -467,6 +522,43 @@ def test_op6_repeated_rows_and_few_vectors(spark):
         assert neighbours.nearest(few).count() == min(10, n - 1)
 
 
+def test_op7_features_and_updates_against_a_loop():
+    """Hashed features counted in a dictionary, and follow-the-regularised-leader one coordinate at a time."""
+    whole, mix = 1 << 64, 0x9E3779B97F4A7C15
+
+    def features(text, bits):
+        nums = [(zlib.crc32(w.lower().encode()), zlib.crc32(b"\1" + quality_model.shape(w).encode())) for w in text.split()]
+        found = collections.Counter()
+        put = lambda v: found.update([(v % whole >> 64 - bits) | 1])
+        for a, b in nums:
+            put(a * mix), put(b * mix)
+        for (a, b), (c, d) in zip(nums, nums[1:], strict=False):
+            put((a * mix % whole) ^ ((c + 1) * 0xC2B2AE3D27D4EB4F % whole)), put((b * mix % whole) ^ ((d + 1) * 0xC2B2AE3D27D4EB4F % whole)), put((int(a == c) + 2) * mix)
+        norm = math.sqrt(sum(found.values())) or 1.0
+        return {0: 1.0} | {i: 4 * math.sqrt(n) / norm for i, n in found.items()}
+
+    texts = [prose(n) + (" %%% JUNK" if k % 3 else "") for k, n in enumerate((1, 4, 30, 30, 12, 60))] + [""]
+    labels, bits = [0, 1, 1, 0, 1, 1, 0], 12
+    hasher = quality_model.Hasher()
+    for t in texts:
+        index, value = hasher.features(t, bits)
+        assert dict(zip(index.tolist(), value.tolist(), strict=True)) == pytest.approx(features(t, bits))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1 + math.sqrt(n[i])) / 0.2 + 0.02)
+    order = np.random.default_rng(5)
+    for _ in range(quality_model.EPOCHS):
+        for k in order.permutation(len(texts)):
+            x = features(texts[k], bits)
+            w = {i: weight(i) for i in x}
+            off = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - labels[k]
+            for i, v in x.items():
+                g = off * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.2 * w[i]
+                n[i] += g * g
+    got = quality_model.train([(hasher.features(t, bits), y) for t, y in zip(texts, labels, strict=True)], bits=bits)
+    assert got == pytest.approx(np.array([weight(i) for i in range(1 << bits)]), abs=1e-6)
+
+
 def test_op7_held_out(spark, labelled):
     got = quality_model.op7_quality_classifier(spark, labelled).collect()
     assert len(got) == 403 and all(0 <= r["score"] <= 1 for r in got)
