@@ -2,15 +2,18 @@
 
 Trees are fitted on a bounded sample: each split projects on the difference of two random sample vectors and cuts at
 the median. Every row is then routed to one leaf of each tree. A query walks all trees through one priority queue,
-nearest cuts first, and takes leaves until it has its share; within those leaves the distances are exact, so the
-forest decides only who is looked at. Leaves are work units: rows and queries of a leaf meet in one task.
+nearest cuts first, and takes as many leaves as a trial on the sample asks for: there, so many leaves held the wanted
+share of the true neighbours. Vectors in clusters so need few leaves; vectors without structure need many, as for any
+index. Within leaves the distances are exact, so the forest decides only who is looked at. Leaves are work units: rows
+and queries of a leaf meet in one task, and a leaf of many rows in several.
 
 Equal vectors share all distances, so an index row stands for each distinct vector with its k + 1 smallest ids, which
 is all that any result can hold; equal queries are searched once. Both keep results whole when one vector is a third
 of all rows.
 
 Defined results: vectors that are null or zero, hold null or non-finite components, or are not of the commonest
-length take no part, nor do rows with a null id. A row is never its own neighbour; repeats of an id count once.
+length take no part, nor do rows with a null id. A row is never its own neighbour; repeats of an id count once. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import stored, table
+from .common import joined, stored, table
 from .near_dedup import groups
 
 TREES = 4
@@ -32,7 +35,9 @@ LEAF_ROWS = 128  # in a leaf of a large index; a small one has finer leaves, dow
 FINE = 9
 MOST_DEPTH = 11
 SAMPLE = 32768  # vectors that trees are fitted on: 16 for each of 2**MOST_DEPTH leaves
-SHARE = 0.3  # of all leaves of the forest that a query looks at
+RECALL = 0.95  # of the neighbours in the sample that a query's leaves must hold
+TRIALS = 128  # sample vectors that are searched for to find out how many leaves that takes
+BLOCK = 4096  # rows of a leaf that meet queries in one task
 EVERY = 100
 K = 10
 
@@ -102,6 +107,24 @@ def fitted(sample: np.ndarray, trees: int, depth: int, seed: int = 17) -> Forest
     return Forest(normals, cuts)
 
 
+def leaves_wanted(forest: Forest, sample: np.ndarray, k: int, recall: float, trials: int = TRIALS) -> int:
+    """How many leaves, nearest first, hold so large a share of the k nearest sample vectors of a sample vector."""
+    all_leaves = forest.cuts.size + len(forest.cuts)
+    if len(sample) <= k + 1:
+        return all_leaves
+    where, sizes = forest.leaves(sample), np.zeros((len(forest.cuts), forest.cuts.shape[1] + 1), dtype=np.int64)
+    norms, needed = np.einsum("ij,ij->i", sample, sample), []
+    for q in np.unique(np.linspace(0, len(sample) - 1, trials).astype(int)):
+        far = norms - 2 * sample @ sample[q]
+        far[q] = np.inf
+        near = np.argpartition(far, k)[:k]
+        turn = np.zeros((len(forest.cuts), forest.cuts.shape[1] + 1), dtype=np.int64)
+        for i, (t, leaf) in enumerate(forest.search(sample[q], all_leaves, sizes, 0)):
+            turn[t, leaf] = i + 1
+        needed.append(turn[np.arange(len(forest.cuts))[:, None], where[:, near]].min(0))
+    return int(np.quantile(np.concatenate(needed), recall, method="higher"))
+
+
 def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     """id, v of the rows that take part."""
     v = F.col("v")
@@ -115,7 +138,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     return rows.distinct().withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k).drop("n")
 
 
-def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, trees: int = TREES, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, id, score: the k nearest found of each row whose id is divisible by every."""
     rows = usable(vectors, id_, vector)
     lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").first()
@@ -129,8 +152,10 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
     count = index.count()
     fit_on = np.array([r["v"] for r in index.orderBy(F.xxhash64("id"), "id").select("v").limit(sample).collect()], dtype=np.float64)
     depth = depth_for(count, len(fit_on))
-    forest = vectors.sparkSession.sparkContext.broadcast(fitted(fit_on, trees, depth))  # at most trees * 2**MOST_DEPTH vectors
-    most = max(min(trees, 2), math.ceil(share * trees * 2**depth))
+    grown = fitted(fit_on, trees, depth)
+    most = max(min(trees, 2), leaves_wanted(grown, fit_on, k, recall))
+    forest = vectors.sparkSession.sparkContext.broadcast(grown)  # at most trees * 2**MOST_DEPTH vectors
+
     def matrix(column: pa.Array) -> np.ndarray:
         return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), size)
 
@@ -149,6 +174,7 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
     for r in routed.collect():  # at most trees * 2**MOST_DEPTH rows
         sizes[r["leaf"]] = r["n"]
     sizes = sizes.reshape(trees, -1)
+    blocks = np.maximum(1, -(-sizes // block))  # keys: tree, leaf, and block of the leaf's rows
     queries = rows.where(F.col("id") % every == 0)
     asked = queries.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
 
@@ -161,11 +187,14 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
                     x, ids = matrix(batch.column(1)), batch.column(0).to_numpy()
                     if kind:
                         visits = [f.search(q, most, sizes, k + 1) for q in x]
-                        row = np.repeat(np.arange(len(x)), [len(v) for v in visits])
-                        key = np.array([t << 32 | leaf for v in visits for t, leaf in v], dtype=np.int64)
+                        seen = np.array([(i, t, leaf) for i, v in enumerate(visits) for t, leaf in v], dtype=np.int64).reshape(-1, 3)
+                        times = blocks[seen[:, 1], seen[:, 2]]
+                        row, tree, leaf = np.repeat(seen, times, axis=0).T
+                        part = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                     else:
-                        row = np.tile(np.arange(len(x)), len(f.cuts))
-                        key = ((np.arange(len(f.cuts), dtype=np.int64) << 32)[:, None] | f.leaves(x)).ravel()
+                        row, tree, leaf = np.tile(np.arange(len(x)), len(f.cuts)), np.repeat(np.arange(len(f.cuts)), len(x)), f.leaves(x).ravel()
+                        part = ((ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64) % blocks[tree, leaf]
+                    key = (tree << 56) | (leaf << 40) | part
                     raw = [v.tobytes() for v in x.astype(raw_type)]
                     for lo in range(0, len(row), 8192):
                         some = row[lo : lo + 8192]
@@ -201,10 +230,13 @@ def nearest(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding",
     schema = "key long, kind int, id long, v binary"
     both = index.mapInArrow(keyed(0), schema).union(asked.mapInArrow(keyed(1), schema))
     pairs = both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(meet, "asked long, id long, score double")
-    best = pairs.groupBy("asked", "id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy("score", "id"))).where(F.col("n") <= k + 1).drop("n")
-    who = queries.select(F.col("id").alias("query_id"), "v").join(asked.select(F.col("id").alias("asked"), F.col("v").alias("__v")), F.col("v") == F.col("__v")).select("query_id", "asked").distinct()
-    own = who.join(best, "asked").where("id <> query_id")
-    return own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = pairs.groupBy("asked", "id").agg(F.min("score").alias("score")).withColumn("n", F.row_number().over(Window.partitionBy("asked").orderBy("score", "id"))).where(F.col("n") <= k + 1)
+    best = stored(best.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("found")), "best")  # k + 1 a query
+    counts = queries.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    who = joined(queries.select(F.col("id").alias("query_id"), "v").distinct(), asked.select("v", F.col("id").alias("asked")), ["v"], counts).select("query_id", "asked")
+    met = joined(who, best, ["asked"], who.groupBy("asked").agg(F.count(F.lit(1)).alias("n")))
+    others = F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k)
+    return met.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.id", "x.score")
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

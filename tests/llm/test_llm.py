@@ -522,6 +522,38 @@ def test_op6_repeated_rows_and_few_vectors(spark):
         assert neighbours.nearest(few).count() == min(10, n - 1)
 
 
+def brute_neighbours(ids, x, every=100, k=10):
+    """(query, id) to distance of each query's k nearest."""
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        out |= {(int(ids[i]), int(ids[j])): d[j] for j in [j for j in np.lexsort((ids, d)) if j != i][:k]}
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_op6_recall_on_the_given_vectors(spark, sf):
+    """Close to uniform on a sphere: the hardest case for any index."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()
+    want = brute_neighbours(np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in neighbours.op6_nearest_neighbours(spark, f"/root/testdata/{sf}").collect()}
+    assert len(got) == len(want) and len(got.keys() & want.keys()) >= 0.9 * len(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got.keys() & want.keys())
+
+
+def test_op6_clusters_need_few_leaves_and_large_leaves_are_split(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 24))[r.integers(0, 60, 6000)] * 3 + 0.3 * r.normal(size=(6000, 24))
+    forest = neighbours.fitted(x, 4, 8)
+    wanted = neighbours.leaves_wanted(forest, x, 10, 0.95)
+    assert wanted < 0.1 * 4 * 2**8 < neighbours.leaves_wanted(neighbours.fitted(y := r.normal(size=(6000, 24)), 4, 8), y, 10, 0.95)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute_neighbours(np.arange(6000), x)
+    whole = sorted(map(tuple, neighbours.nearest(df).collect()))
+    assert len({(q, i) for q, _, i, _ in whole} & want.keys()) >= 0.9 * len(want)
+    assert sorted(map(tuple, neighbours.nearest(df, block=5).collect())) == whole
+
+
 def test_op7_features_and_updates_against_a_loop():
     """Hashed features counted in a dictionary, and follow-the-regularised-leader one coordinate at a time."""
     whole, mix = 1 << 64, 0x9E3779B97F4A7C15
