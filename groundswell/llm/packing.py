@@ -36,6 +36,8 @@ SMALL = 3  # pieces of at most capacity / SMALL tokens are small
 END_ID = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+SALTS = 1 << 16
+PART = 1 << 16  # pieces of one length, about, that are ranked in one task
 
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -67,8 +69,8 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         def encode(text: str) -> np.ndarray:
             try:
                 return quick.encode_to_numpy(text, allowed_special="all")
-            except BaseException as e:  # Rust panics are no Exceptions
-                if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+            except BaseException as e:
+                if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":  # its regular expression gave up
                     raise
                 slow[:] = slow or [Tokenizer.from_file(path)]
                 return np.array(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -84,19 +86,21 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece of each document (doc_id, text): place in the document, length, and CRC-32 of its ids."""
+    """A row for each piece of each document (doc_id, text): place in the document, length, CRC-32 of its ids, and salt, a number
+    that tells equal rows apart often enough to spread them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode, done = encoder(path), 0
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), END_ID).astype("<u4")
                 out += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cuts(len(ids), capacity))]
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns = [*(list(zip(*out, strict=True)) or [()] * 5), np.arange(done, done + len(out)) % SALTS]
+            done += len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", salt long")
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -231,14 +235,13 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: in
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 6), base
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with rank, from 0, among those of the same length: in hashed parts first, then over the parts."""
-    parts = 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+def ranked(pieces: DataFrame, count: int) -> DataFrame:
+    """pieces (so many) with rank, from 0, among those of the same length: in parts first, then over the parts."""
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("salt"), F.lit(min(SALTS, count // PART + 1))))
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
     sums = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     bases = sums.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    return dealt.withColumn("within", within).join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("within")).drop("part", "within", "base")
+    return dealt.withColumn("within", within).join(bases, ["length", "part"]).withColumn("rank", F.col("base") + F.col("within")).drop("salt", "part", "within", "base")
 
 
 def packed(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
@@ -265,7 +268,7 @@ def packed(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, gro
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([columns[n] for n in names] + [pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked(pieces).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked(pieces, sum(histogram.values())).mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

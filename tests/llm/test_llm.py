@@ -69,6 +69,20 @@ def test_op1_packs_every_piece_without_gaps(spark, docs):
     assert len(bins) <= math.ceil(sum(r["length"] for r in out) / 256) + 3
 
 
+def test_op1_encoder_gives_the_tokenizers_ids_of_every_given_document(spark):
+    from tokenizers import Tokenizer
+
+    slow, quick = Tokenizer.from_file(packing.TOKENIZER), packing.encoder(packing.TOKENIZER)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert all(quick(t).tolist() == e.ids for t, e in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True))
+
+
+def test_op1_repeated_rows_and_extra_columns(spark):
+    docs = spark.range(400).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one two").alias("text"), F.lit(1).alias("piece"), F.lit(2).alias("salt"))
+    out = packing.packed(docs, capacity=64).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("offset").alias("k")).collect()
+    assert sum(r["k"] for r in out) == 400 and max(r["n"] for r in out) <= 64
+
+
 def test_op1_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
@@ -877,16 +891,68 @@ def test_op10_documents_of_the_mix(docs):
     assert +counts == +made
 
 
-def test_pipeline_runs_and_keeps_columns(spark, folder):
+def test_pipeline_against_brute_force(spark, folder):
+    """Each stage on what its predecessor kept: rules, groups of near copies, masks, words taken and packed ids."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    now = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, folder)
-        assert now.columns == docs.columns, name
-    out = corpus_pipeline.run(spark, folder)
-    assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scans", "mixing", "packing"]
+    rows = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    kept = stages["quality_rules"](spark, docs, folder)
+    assert kept.columns == docs.columns
+    held = {(r["doc_id"], r["text"]) for r in quality_rules.with_measures(docs.select("doc_id", "text"), list(quality_rules.MEASURES)).collect() if r["n_words"] >= 10 and 100 * r["n_repeat_words"] <= 20 * r["n_words"] and 10 * r["n_symbols"] <= r["n_words"] and 2 * r["n_dup_lines"] <= r["n_lines"] and 2 * r["n_words"] <= r["word_chars"] <= 15 * r["n_words"]}
+    assert set(rows(kept)) == held
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    alone = stages["near_dedup"](spark, kept, folder)
+    texts = sorted({(r["doc_id"], r["text"]) for r in kept.collect()}, key=lambda x: (x[0] is None, x[0] or 0))
+    of = brute_force_components([t for _, t in texts])
+    assert rows(alone) == collections.Counter(texts[i] for i in set(of.values())) and alone.columns == docs.columns
+    alone = spark.createDataFrame(alone.collect(), docs.schema)
+    clean = stages["secret_scans"](spark, alone, folder)
+    found = {r["doc_id"]: r for r in secrets.with_secrets(alone).collect()}
+    for r in clean.collect():
+        t, out, at = found[r["doc_id"]]["text"], "", 0
+        for s in sorted([*found[r["doc_id"]]["base_spans"], *found[r["doc_id"]]["random_spans"]]):
+            out, at = out + (t[at : s["start"]] + "[SECRET]" if s["start"] >= at else ""), max(at, s["stop"])
+        assert r["text"] == out + t[at:] and r["n_chars"] == len(r["text"])
+    clean = spark.createDataFrame(clean.collect(), docs.schema)
+    mixed = stages["mixing"](spark, clean, folder)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(clean).collect()}
+    words, whole = collections.Counter(), {r["doc_id"]: WORD.findall(r["text"]) for r in clean.collect()}
+    for r in mixed.collect():
+        own = WORD.findall(r["text"])
+        words[r["doc_id"]] += len(own)
+        it = iter(whole[r["doc_id"]])
+        assert all(w in it for w in own)  # the words taken are the document's, in order
+    assert words == {k: n for k, n in taken.items() if n}
+    mixed = spark.createDataFrame(mixed.collect(), docs.schema)
+    ids, packed_ids = collections.Counter(), collections.Counter()
+    for r in mixed.collect():
+        ids[r["doc_id"]] += len(packing.encoder(packing.TOKENIZER)(r["text"])) + 1
+    for r in stages["packing"](spark, mixed, folder).collect():
+        packed_ids[r["doc_id"]] += r["length"]
+    assert ids == packed_ids
+    whole_run = corpus_pipeline.run(spark, folder)
+    assert collections.Counter(r["doc_id"] for r in whole_run.collect()) == collections.Counter(r["doc_id"] for r in stages["packing"](spark, mixed, folder).collect())
+
+
+def test_pipeline_stages_with_repeats_nulls_and_clashing_names(spark):
+    """Ids that repeat with equal and with other texts, nulls in every column, names that operators use inside."""
+    import corpus_pipeline
+
+    r = random.Random(77)
+    base = [" ".join(f"v{r.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(k % 4 or None, base[k % 6], None if k % 5 == 0 else "en", None if k % 3 == 0 else f"s{k % 2}", None if k % 4 == 1 else 9, f"x{k % 2}", k % 3) for k in range(24)] + [(None,) * 7, (7, "", None, None, 0, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, words string, copies int")
+    for some in (docs, docs.limit(0)):
+        now = some
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, "")
+            assert now.columns == docs.columns
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        out = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
+        assert bool(out) == (some is docs)
 
 
 def test_empty_tables(spark, tmp_path):
