@@ -3,8 +3,8 @@
 Each stage gets all rows that the one before kept, as a table read again, and returns a DataFrame:
 
 1. quality_rules drops documents that a rule rejects;
-2. near_dedup keeps one document (the smallest id) of each group linked by exact copies or by five-word shingles of
-   Jaccard similarity 0.8 or more;
+2. near_dedup keeps one document (the smallest id, null last) of each group linked by exact copies of the word sequence
+   or by five-word shingles of Jaccard similarity 0.8 or more;
 3. secret_scans replaces secrets in texts by a mark; it drops no document;
 4. mixing repeats, trims or keeps documents so that sources meet their target weights; a document that is taken twice
    has two rows, under its id;
@@ -19,11 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from groundswell.llm import mixing, near_dedup, packing, quality_rules, secrets
-from groundswell.llm.common import stored, table
+from groundswell.llm.common import stored, table, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = "__rejected_by"
+    verdict = unused(docs, "rejected_by")
     return quality_rules.quality_rules(docs, verdict=verdict).where(F.col(verdict).isNull()).select(docs.columns)
 
 
