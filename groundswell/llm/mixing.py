@@ -34,7 +34,7 @@ SHARDS = 64
 ROUNDS = 12
 SEED = 7
 GROUP = 1024  # sources that draw together
-PART = 1 << 16  # rows, about, whose starts are summed in one task
+PART = 1 << 14  # rows, about, whose starts are summed in one task
 CHUNK = 1 << 16  # slots, or repeats of a row, that are written out from one row
 
 
@@ -136,7 +136,8 @@ def spread(rows: DataFrame, n: str, place: str, *by: str) -> DataFrame:
 
 
 def taken_blocks(sources: DataFrame, shards: int = SHARDS, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """A row for each slot: shard, slot, src, block."""
+    """A row for each slot: shard, slot, src, block. Joins with it ask for a shuffle: Spark would judge its size by that of the
+    runs, and broadcast it."""
     runs = stored(drawn_runs(sources, shards, seed, group).join(sources.select("src", "blocks"), "src"), "runs")
     slots = spread(runs, "n", "__at", "src", "shard").withColumn("slot", F.col("first") + F.col("__at"))
     pass_ = F.floor(F.col("slot") / F.col("blocks"))
@@ -200,7 +201,7 @@ def mixed_blocks(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     """The mix: shard, src, slot, block, and what lies in the block: doc_id, copy, from_word, n_words; one row for each piece of a
     document. Words of a shard are those of its rows."""
     sources, place = plan(docs)
-    met = pieces(place).join(taken_blocks(sources, shards, seed), ["src", "block"])
+    met = pieces(place).join(taken_blocks(sources, shards, seed).hint("merge"), ["src", "block"])
     return met.select("shard", "src", "slot", "block", "doc_id", "k1", "k2", "copy", "from_word", "n_words")
 
 
@@ -208,7 +209,7 @@ def mix_counts(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataF
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted; and shards: those
     that hold any of its words."""
     sources, place = plan(docs)
-    met = pieces(place).join(taken_blocks(sources, shards, seed), ["src", "block"])
+    met = pieces(place).join(taken_blocks(sources, shards, seed).hint("merge"), ["src", "block"])
     keys = ["k1", "k2", "copy"]
     some = met.groupBy(*keys).agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
     out = place.join(some, keys, "left").withColumns({"taken": F.coalesce("taken", F.lit(0).cast("long")), "shards": F.coalesce("shards", F.array().cast("array<int>"))})
@@ -222,7 +223,7 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     """
     sources, place = plan(docs)
     times = taken_blocks(sources, shards, seed).groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
-    met = pieces(place).join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
+    met = pieces(place).join(times.hint("merge"), ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
     cut = F.struct("from_word", "n_words", "times")
     names = {c: unused(docs, c) for c in ("k1", "k2", "cuts", "made")}
     cuts = met.groupBy("k1", "k2", "copy").agg(F.sort_array(F.collect_list(cut)).alias("cuts")).where(F.exists("cuts", lambda c: c["times"] > 0))
