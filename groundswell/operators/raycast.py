@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import Grid
 from .raster import CELL
@@ -76,8 +76,8 @@ def observed(points: DataFrame, grid: Grid) -> DataFrame:
     return grid.celled(points).groupBy(F.col("scan_id").cast("long").alias("scan_id"), *CELL).agg(F.count(F.lit(1)).alias("hits"))
 
 
-def evidence(facts: DataFrame, thinned: DataFrame, grid: Grid) -> DataFrame:
-    """All that a scan says of a cell, for estimate.fold: z and variance of facts, hits and lowest ray of the thinned points."""
-    a = facts.select(F.col("scan_id").cast("long").alias("scan_id"), *CELL, F.col("min_z").alias("z"), (F.col("min_z_var") if "min_z_var" in facts.columns else F.lit(0.0)).alias("variance"))
+def evidence(facts: DataFrame, thinned: DataFrame, grid: Grid, extras: list[Column] | None = None) -> DataFrame:
+    """All that a scan says of a cell, for estimate.fold: z, variance and extras of facts, hits and lowest ray of the thinned points."""
+    a = facts.select(F.col("scan_id").cast("long").alias("scan_id"), *CELL, F.col("min_z").alias("z"), (F.col("min_z_var") if "min_z_var" in facts.columns else F.lit(0.0)).alias("variance"), *(extras or []))
     keys = ["scan_id", *CELL]
     return a.join(observed(thinned, grid), keys, "full_outer").join(ray_heights(thinned, grid), keys, "full_outer")

@@ -18,7 +18,7 @@ from ..functions.sensors import Sensor, with_covariance
 from ..operators import estimate, stencil
 from ..operators.asof import POSE, lookup, moved, poses_at
 from ..operators.filters import point_filter
-from ..operators.raster import CELL, latest_layers, obstacle, rasterized, running_bounds
+from ..operators.raster import CELL, rasterized
 from ..operators.raycast import evidence
 from .config import Mapping, PointFilter, Postprocess, Raycasting
 from .tables import stored
@@ -36,6 +36,7 @@ class Mapper:
     most_stale: float | None = 0.1
     on_preprocessed: Observer | None = None
     on_rasterized: Observer | None = None
+    slice_scans: int = 20_000  # scans that a cell's fold takes at once
 
     def _set(self, **changes: object) -> Mapper:
         return dataclasses.replace(self, config=dataclasses.replace(self.config, **changes))
@@ -105,20 +106,36 @@ class Mapper:
             self.on_rasterized(facts)
         return facts
 
-    def windowed(self, cells: DataFrame, prepared: DataFrame) -> DataFrame:
+    def windows(self, prepared: DataFrame) -> DataFrame:
+        """scan_id, wr, wc (the window's place, in cells) and nth: a row for each scan, in order. A window moves by whole cells."""
+        res, mid_r, mid_c = self.config.resolution, self.grid.rows // 2, self.grid.cols // 2
+        at = prepared.groupBy(F.col("scan_id").cast("long").alias("scan_id")).agg((mid_r - F.round(F.first("wx") / res)).cast("long").alias("wr"), (mid_c - F.round(F.first("wy") / res)).cast("long").alias("wc"))
+        return stored(at.withColumn("nth", F.row_number().over(Window.orderBy("scan_id"))), "windows")
+
+    @property
+    def half(self) -> tuple[int, int]:
+        """Half a window, in cells: it reaches so far up and, less one, down."""
+        return round(self.config.length_x / self.config.resolution) // 2, round(self.config.length_y / self.config.resolution) // 2
+
+    def kept(self, at: DataFrame) -> tuple[int, int, int, int] | None:
+        """The rows and columns (first and last, both) that lie in all of the windows; none without windows."""
+        b = at.agg(F.min("wr"), F.max("wr"), F.min("wc"), F.max("wc")).first()
+        if b[0] is None:
+            return None
+        (half_r, half_c), (lo_r, hi_r, lo_c, hi_c) = self.half, b
+        return hi_r - half_r, lo_r + half_r - 1, hi_c - half_c, lo_c + half_c - 1
+
+    def windowed(self, cells: DataFrame, prepared: DataFrame, at: DataFrame | None = None, before: bool = False) -> DataFrame:
         """For a local map of the configured size around the robot: cells inside their scan's window, with reset where
         a window in between has left the cell, and a row without measurement after the last scan, with reset where a
-        window since has left it. A window moves by whole cells. One row a scan says where windows are."""
-        res = self.config.resolution
-        half_r, half_c = round(self.config.length_x / res) // 2, round(self.config.length_y / res) // 2
-        mid_r, mid_c = self.grid.rows // 2, self.grid.cols // 2
-        at = prepared.groupBy(F.col("scan_id").cast("long").alias("scan_id")).agg((mid_r - F.round(F.first("wx") / res)).cast("long").alias("wr"), (mid_c - F.round(F.first("wy") / res)).cast("long").alias("wc"))
-        at = stored(at.withColumn("nth", F.row_number().over(Window.orderBy("scan_id"))), "windows")  # a row for each scan
+        window since has left it. before: cells may have states from before the first scan, whose windows count as well."""
+        half_r, half_c = self.half
+        at = self.windows(prepared) if at is None else at
         inside = (F.col("row") - F.col("wr")).between(-half_r, half_r - 1) & (F.col("col") - F.col("wc")).between(-half_c, half_c - 1)
         met = cells.withColumn("scan_id", F.col("scan_id").cast("long")).join(at, "scan_id").where(inside).select(*cells.columns, "nth")
         end = at.agg((F.max("scan_id") + 1).alias("scan_id"), (F.max("nth") + 1).alias("nth"))  # one row: after the last scan
         met = met.unionByName(met.select(*CELL).distinct().join(F.broadcast(end)), allowMissingColumns=True)
-        met = met.withColumn("first", F.lag("nth").over(Window.partitionBy(*CELL).orderBy("nth")) + 1).withColumn("between", F.col("nth") - F.col("first"))
+        met = met.withColumn("first", F.coalesce(F.lag("nth").over(Window.partitionBy(*CELL).orderBy("nth")) + 1, F.lit(1) if before else F.lit(None))).withColumn("between", F.col("nth") - F.col("first"))
         # The windows in between are bounded by those of two runs of scans, each a power of two long, that cover them.
         spans = window_spans(at)
         power = F.floor(F.log2(F.col("between"))).cast("int")
@@ -131,32 +148,49 @@ class Mapper:
         stayed = (F.col("row") >= hi["r"] - half_r) & (F.col("row") <= lo["r"] + half_r - 1) & (F.col("col") >= hi["c"] - half_c) & (F.col("col") <= lo["c"] + half_c - 1)
         return met.withColumn("reset", F.coalesce(~stayed, F.lit(False))).select(*cells.columns, "reset")
 
+    @property
+    def is_local(self) -> bool:
+        return self.config.mode == "local" and self.poses is not None
+
+    def events(self, prepared: DataFrame, facts: DataFrame, at: DataFrame | None = None, before: bool = False) -> DataFrame:
+        """All that scans say of cells, for the fold."""
+        more = {"max_z": "high", "max_intensity": "intensity", "color": "color"}
+        extras = [F.col(c).alias(n) for c, n in more.items() if c in facts.columns]
+        if self.config.raycasting.enabled:
+            cells = evidence(facts, voxel_grid_by_scan(prepared, self.config.resolution), self.grid, extras)
+        else:
+            cells = facts.select(F.col("scan_id").cast("long").alias("scan_id"), *CELL, F.col("min_z").alias("z"), F.col("min_z_var").alias("variance"), *extras)
+        return self.windowed(cells, prepared, at, before) if self.is_local else cells
+
+    def folded(self, cells: DataFrame, start: str | None = None) -> DataFrame:
+        """row, col, state after cells, by the configured estimator."""
+        rays = self.config.raycasting
+        seen = rays.visibility if rays.enabled else None
+        if self.config.estimator == "p2_quantile":
+            return estimate.p2_states(cells, self.config.p2, seen, start=start)
+        return estimate.fold(cells, self.config.kalman, seen, start=start)
+
+    def layers(self, states: DataFrame, last: int | None) -> DataFrame:
+        if self.config.estimator == "p2_quantile":
+            return estimate.p2_layers(states, self.config.p2, last=last)
+        return estimate.layers(states, last=last)
+
     def mapped(self, points: DataFrame) -> DataFrame:
         """The map's layers after all scans, in order of scan_id."""
         prepared = self.preprocessed(points)
         facts = self.facts(prepared)
-        if self.config.estimator == "p2_quantile":
-            out = estimate.p2_fold(facts.withColumnRenamed("min_z", "z"), self.config.p2)
-        else:
-            rays = self.config.raycasting
-            cells = evidence(facts, voxel_grid_by_scan(prepared, self.config.resolution), self.grid) if rays.enabled else facts.select("scan_id", *CELL, F.col("min_z").alias("z"), F.col("min_z_var").alias("variance"))
-            if self.config.mode == "local" and self.poses is not None:
-                cells = self.windowed(cells, prepared)
-            out = estimate.layers(estimate.fold(cells, self.config.kalman, rays.visibility if rays.enabled else None))
-        for more in (running_bounds(facts), obstacle(facts), latest_layers(facts) if {"max_intensity", "color"} & set(facts.columns) else None):
-            if more is not None:
-                out = out.join(more, list(CELL), "left")
-        return out
-
-
-def window_spans(at: DataFrame, most: int = 40) -> DataFrame:
+        last = facts.agg(F.max("scan_id").cast("long")).first()[0]
+        states = estimate.in_slices(self.events(prepared, facts), self.folded, self.slice_scans)
+        return self.layers(states, last)
+
+
+def window_spans(at: DataFrame) -> DataFrame:
     """power, nth, and the bounds of window places over the 2**power scans from nth on."""
     count = at.count()
     now = at.select(F.lit(0).alias("power"), "nth", *[F.col(w).alias(n) for w, ns in (("wr", ("lo_r", "hi_r")), ("wc", ("lo_c", "hi_c"))) for n in ns])
     out = now
-    for power in range(1, most):
-        if 1 << power > count:
-            break
+    power = 0
+    while 1 << (power := power + 1) <= count:
         half = 1 << (power - 1)
         right = now.select((F.col("nth") - half).alias("nth"), *[F.col(c).alias(f"{c}_") for c in ("lo_r", "hi_r", "lo_c", "hi_c")])
         joined = now.join(right, "nth")
