@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import sys
 
-import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from .operators.dem import DemConfig, build_dem
 from .operators.raster import to_points
-from .sources.clouds import pcd_bytes, read_pcd, write_file
+from .sources.clouds import encoded, read_pcd, write_files
 
 
 def main(args: list[str]) -> int:
@@ -18,8 +17,9 @@ def main(args: list[str]) -> int:
         return 2
     spark = SparkSession.builder.appName("pcd2dem").getOrCreate()
     cells, grid = build_dem(read_pcd(spark, args[0]).select("point_id", "x", "y", "z"), DemConfig(resolution=float(args[2]) if len(args) == 3 else 0.1))
-    rows = to_points(cells, grid).orderBy("point_id").collect()  # the cells of one map
-    write_file(args[1], pcd_bytes({c: np.array([r[c] for r in rows]) for c in "xyz"}))
+    folder, _, name = args[1].rpartition("/")
+    made = encoded(to_points(cells, grid).select("point_id", "x", "y", "z", F.lit(0).alias("scan_id")))  # one file, which a task builds
+    write_files(made.withColumn("path", F.lit(name)), folder)
     return 0
 
 

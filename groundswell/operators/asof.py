@@ -2,6 +2,9 @@
 
 Poses (by, ts, tx, ty, tz, qx, qy, qz, qw; ts in seconds) and queries meet in one union sorted by time within `by`, the
 trajectory they belong to; two windows carry the pose before and the pose after to each query. No pair is ever made.
+A trajectory is cut into ranges of time of about equal numbers of rows, whose windows run side by side; what a range
+lacks at its ends comes from the first and last poses of the ranges around it, a row each. So one trajectory of any
+length is spread over all tasks. Rows without a trajectory (null in by) are left out.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import XYZ, rotation_of, slerped
+from ..plans.tables import stored
 
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
 
@@ -28,10 +32,16 @@ def poses_at(queries: DataFrame, poses: DataFrame, by: tuple[str, ...] = (), cla
     extra = [c for c in queries.columns if c not in (*by, "ts")]
     q = queries.select(*by, "ts", F.lit(1).alias("__kind"), F.struct(*extra, F.lit(0).alias("__")).alias("__row"), F.lit(None).cast(poses.select(pose.alias("p")).schema["p"].dataType).alias("__pose"))
     p = poses.select(*by, "ts", F.lit(0).alias("__kind"), F.lit(None).cast(q.schema["__row"].dataType).alias("__row"), pose.alias("__pose"))
-    both = q.unionByName(p)
-    before = Window.partitionBy(*by).orderBy("ts", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*by).orderBy(F.desc("ts"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = cut_by_time(q.unionByName(p).dropna(subset=[*by, "ts"]), by)
+    keys = ["__part", *by]
+    before = Window.partitionBy(*keys).orderBy("ts", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc("ts"), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    when = F.when(F.col("__kind") == 0, F.col("ts"))
+    ends = both.groupBy(*keys).agg(F.max_by("__pose", when).alias("__last"), F.min_by("__pose", when).alias("__first"))
+    others = Window.partitionBy(*by).orderBy("__part")  # a row for each range of time
+    ends = ends.select(*keys, F.last("__last", ignorenulls=True).over(others.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("__first", ignorenulls=True).over(others.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
     met = both.withColumns({"__a": F.last("__pose", ignorenulls=True).over(before), "__b": F.last("__pose", ignorenulls=True).over(after)}).where("__kind = 1")
+    met = met.join(ends, keys).withColumns({"__a": F.coalesce("__a", "__before"), "__b": F.coalesce("__b", "__after")})
     if not clamp:
         met = met.where(F.col("__a").isNotNull() & F.col("__b").isNotNull())
     met = met.withColumns({"__a": F.coalesce("__a", "__b"), "__b": F.coalesce("__b", "__a")}).where(F.col("__a").isNotNull())
@@ -47,6 +57,11 @@ def poses_at(queries: DataFrame, poses: DataFrame, by: tuple[str, ...] = (), cla
     return met.withColumns(out).select(*by, "ts", *[F.col(f"__row.{c}").alias(c) for c in extra], *columns)
 
 
+def cut_by_time(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows (by, ts, ...) with __part, a range of (by, ts) of about as many rows as any other; equal times share one."""
+    return stored(rows.repartitionByRange(*by, "ts").withColumn("__part", F.spark_partition_id()), "by-time")
+
+
 def moved(points: DataFrame, pose: tuple[str, ...] = POSE) -> DataFrame:
     """Points moved by the pose in their own row."""
     r = rotation_of([F.col(c) for c in pose[3:]])
@@ -59,11 +74,20 @@ def moved(points: DataFrame, pose: tuple[str, ...] = POSE) -> DataFrame:
 
 
 def trajectory_stats(poses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """length (of the path), duration, start and end of each trajectory."""
-    w = Window.partitionBy(*by).orderBy("ts")
-    steps = [F.col(c) - F.lag(c).over(w) for c in ("tx", "ty", "tz")]
-    way = poses.withColumn("__step", F.coalesce(F.sqrt(sum((s * s for s in steps), F.lit(0.0))), F.lit(0.0)))
-    return way.groupBy(*by).agg(F.sum("__step").alias("length"), (F.max("ts") - F.min("ts")).alias("duration"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    """length (of the path), duration, start and end of each trajectory: steps within ranges of time, then those between them."""
+    place = ("tx", "ty", "tz")
+    rows = cut_by_time(poses.select(*by, "ts", *place).dropna(subset=[*by, "ts"]), by)
+    keys = ["__part", *by]
+    far = lambda old, new: F.sqrt(sum(((n - o) * (n - o) for o, n in zip(old, new, strict=True)), F.lit(0.0)))
+    w = Window.partitionBy(*keys).orderBy("ts")
+    way = rows.withColumn("__step", far([F.lag(c).over(w) for c in place], [F.col(c) for c in place]))
+    here = F.struct("ts", *place)
+    ends = way.groupBy(*keys).agg(F.sum("__step").alias("__length"), F.min(here).alias("__first"), F.max(here).alias("__last"))
+    last = F.lag("__last").over(Window.partitionBy(*by).orderBy("__part"))  # a row for each range of time
+    ends = ends.withColumn("__old", last)
+    ends = ends.withColumn("__between", far([F.col(f"__old.{c}") for c in place], [F.col(f"__first.{c}") for c in place]))
+    length = F.sum(F.coalesce("__length", F.lit(0.0)) + F.coalesce("__between", F.lit(0.0)))
+    return ends.groupBy(*by).agg(length.alias("length"), (F.max("__last.ts") - F.min("__first.ts")).alias("duration"), F.min("__first.ts").alias("start_ts"), F.max("__last.ts").alias("end_ts"))
 
 
 def sweep_share(points: DataFrame, mode: str = "channel", by: tuple[str, ...] = ("scan_id",), start: float | None = None, end: float | None = None) -> DataFrame:
@@ -103,4 +127,27 @@ def deskewed(points: DataFrame, start: list[Column], end: list[Column], mode: st
     return share.withColumns(out).drop("alpha", *names)
 
 
-__all__ = ["POSE", "deskewed", "lookup", "moved", "poses_at", "sweep_share", "trajectory_stats"]
+def deskewed_along(points: DataFrame, poses: DataFrame, by: tuple[str, ...] = ("scan_id",), start: Column | None = None, trajectory: tuple[str, ...] = (), clamp: bool = True) -> DataFrame:
+    """Points as if all were measured at the sweep's end, each moved by end^-1 * pose(its time): poses come from a trajectory.
+
+    A point's time is t, from `start` of its scan (0 where none is given) on; a scan's end is the time of its last point.
+    Points without a pose are left out; so are all of a scan whose end has none.
+    """
+    if "t" not in points.columns:
+        raise ValueError("deskewing along a trajectory needs the channel t")
+    timed = points.withColumn("ts", (start if start is not None else F.lit(0.0)) + F.col("t"))
+    ends = timed.groupBy(*dict.fromkeys((*by, *trajectory))).agg(F.max("ts").alias("ts"))
+    end = [f"e{c}" for c in POSE]
+    at_end = poses_at(ends, poses, trajectory, clamp).select(*by, *[F.col(c).alias(e) for c, e in zip(POSE, end, strict=True)])
+    met = poses_at(timed, poses, trajectory, clamp).join(at_end, list(by))
+    out = moved(met)  # in the trajectory's frame; then into that of the scan's end
+    back = rotation_of([F.col(e) for e in end[3:]])
+    into = lambda v: [back[i] * v[0] + back[3 + i] * v[1] + back[6 + i] * v[2] for i in range(3)]
+    columns = dict(zip(XYZ, into([F.col(c) - F.col(e) for c, e in zip(XYZ, end, strict=False)]), strict=True))
+    normal = ("nx", "ny", "nz")
+    if set(normal) <= set(points.columns):
+        columns |= dict(zip(normal, into([F.col(c) for c in normal]), strict=True))
+    return out.withColumns(columns).select(points.columns)
+
+
+__all__ = ["POSE", "deskewed", "deskewed_along", "lookup", "moved", "poses_at", "sweep_share", "trajectory_stats"]

@@ -32,7 +32,7 @@ class DemConfig:
     height: float = 2.0
     bin_size: float = 0.0
     passes: int = 3
-    search: float = 1.0  # first radius of the neighbour search
+    search: float | None = None  # first radius of the neighbour search; by density where none is given
 
 
 def build_dem(points: DataFrame, config: DemConfig = DemConfig()) -> tuple[DataFrame, Grid]:

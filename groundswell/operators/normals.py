@@ -12,13 +12,13 @@ EPSILON = 1e-3
 FLAT = 1.1920929e-07  # the least trace of a neighbourhood with extent: single-precision epsilon
 
 
-def neighbourhoods(points: DataFrame, k: int | None = None, radius: float | None = None, guess: float = 1.0) -> DataFrame:
+def neighbourhoods(points: DataFrame, k: int | None = None, radius: float | None = None, guess: float | None = None) -> DataFrame:
     pairs = nearest(points, points, k, guess) if k else within(points, points, radius)
     found = points.select(F.col("point_id").alias("dst_id"), F.col("x").alias("nx_"), F.col("y").alias("ny_"), F.col("z").alias("nz_"))
     return with_axes(pairs.join(found, "dst_id").groupBy("src_id").agg(*moments("nx_", "ny_", "nz_")))
 
 
-def with_normals(points: DataFrame, k: int | None = 20, radius: float | None = None, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0), guess: float = 1.0, covariances: bool = False) -> DataFrame:
+def with_normals(points: DataFrame, k: int | None = 20, radius: float | None = None, viewpoint: tuple[float, float, float] = (0.0, 0.0, 0.0), guess: float | None = None, covariances: bool = False) -> DataFrame:
     """points with nx, ny, nz toward the viewpoint (zero where three neighbours are not found or have no extent).
 
     covariances: also the six columns of I - (1 - epsilon) n n^T, the plane-like covariance of registration; I where there is no normal.

@@ -7,6 +7,7 @@ brings back one aggregate row: 21 numbers of H, 6 of b, the error and the count,
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -110,31 +111,97 @@ def linearized(pairs: DataFrame, method: str, settings: Settings) -> list[Column
     return system(jac, r, w, robust_weight(size, settings.kernel, settings.kernel_scale))
 
 
-def align(source: DataFrame, target: DataFrame, method: str = "point", guess: np.ndarray | None = None, settings: Settings = Settings(), voxels: DataFrame | None = None) -> Result:
-    """method: point, plane (target has normals), gicp (both have covariances) or vgicp (source has; voxels or target)."""
-    need = {"plane": [(target, ("nx",))], "gicp": [(source, ("cxx",)), (target, ("cxx",))], "vgicp": [(source, ("cxx",))]}.get(method, [])
-    for cloud, channels in need:
-        if not set(channels) <= set(cloud.columns):
-            raise ValueError(f"{method} needs the channel {channels[0]}")
+# --- solvers: how far to step, given the system at a transform ----------------------------------------------------------
+
+#: Error of the pairs that another transform finds; each call is a job.
+ErrorAt = Callable[[np.ndarray], float]
+
+
+@dataclass
+class Damped:
+    """A fixed damping; none with 0 but for what keeps the system solvable."""
+
+    damping: float = 1e-3
+
+    def step(self, h: np.ndarray, b: np.ndarray, transform: np.ndarray, error: float, error_at: ErrorAt) -> np.ndarray:
+        return np.linalg.solve(h + max(self.damping, 1e-12) * np.eye(6), -b)
+
+
+@dataclass
+class Adaptive:
+    """Damping that falls after a step that lowers the error, and grows until one does; no step if none does."""
+
+    damping: float = 1e-3
+    factor: float = 10.0
+    tries: int = 10
+
+    def step(self, h: np.ndarray, b: np.ndarray, transform: np.ndarray, error: float, error_at: ErrorAt) -> np.ndarray:
+        for _ in range(self.tries):
+            delta = np.linalg.solve(h + self.damping * np.eye(6), -b)
+            if error_at(se3_exp(delta) @ transform) < error:
+                self.damping /= self.factor
+                return delta
+            self.damping *= self.factor
+        return np.zeros(6)
+
+
+@dataclass(frozen=True)
+class Factor:
+    """What a registration minimises: pairs of the moved source with the target, and the sums of their linear system. needs: channels
+    that source and target must have."""
+
+    pairs: Callable[[DataFrame, DataFrame, Settings], DataFrame]
+    sums: Callable[[DataFrame, Settings], list[Column]]
+    needs: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())
+
+
+def _by_distance(here: DataFrame, target: DataFrame, settings: Settings) -> DataFrame:
+    return correspondences(here, target, settings.max_distance)
+
+
+def _by_voxel(here: DataFrame, voxels: DataFrame, settings: Settings) -> DataFrame:
+    return voxel_correspondences(here, voxels, settings.voxel)
+
+
+FACTORS = {
+    "point": Factor(_by_distance, lambda pairs, s: linearized(pairs, "point", s)),
+    "plane": Factor(_by_distance, lambda pairs, s: linearized(pairs, "plane", s), ((), ("nx",))),
+    "gicp": Factor(_by_distance, lambda pairs, s: linearized(pairs, "gicp", s), (("cxx",), ("cxx",))),
+    "vgicp": Factor(_by_voxel, lambda pairs, s: linearized(pairs, "vgicp", s), (("cxx",), ())),
+}
+
+
+def align(source: DataFrame, target: DataFrame, method: str | Factor = "point", guess: np.ndarray | None = None, settings: Settings = Settings(), voxels: DataFrame | None = None, solver: Damped | Adaptive | None = None) -> Result:
+    """method: point, plane (target has normals), gicp (both have covariances), vgicp (source has; voxels or target), or a factor of
+    one's own. solver: fixed damping by the settings, if none is given."""
+    factor = FACTORS[method] if isinstance(method, str) else method
+    for cloud, channels in zip((source, target), factor.needs, strict=True):
+        for channel in channels:
+            if channel not in cloud.columns:
+                raise ValueError(f"{method} needs the channel {channel}")
     source = stored(source, "source")
     target = stored(target, "target")
     if method == "vgicp":
-        voxels = stored(voxels if voxels is not None else regularized_voxels(target, settings.voxel), "voxels")
+        target = stored(voxels if voxels is not None else regularized_voxels(target, settings.voxel), "voxels")
+    solver = solver or Damped(settings.damping)
+
+    def system_at(transform: np.ndarray):  # noqa: ANN202
+        pose = Rigid.of(transform)
+        pairs = factor.pairs(transformed(rotated_covariance(source, pose) if "cxx" in source.columns else source, pose), target, settings)
+        return pairs.agg(*factor.sums(pairs, settings)).first()
+
     whole = source.count()
     result = Result(np.eye(4) if guess is None else np.array(guess, dtype=float))
     before = math.inf
     for k in range(settings.most_iterations):
-        pose = Rigid.of(result.transform)
-        here = transformed(rotated_covariance(source, pose) if "cxx" in source.columns else source, pose)
-        pairs = voxel_correspondences(here, voxels, settings.voxel) if method == "vgicp" else correspondences(here, target, settings.max_distance)
-        s = pairs.agg(*linearized(pairs, method, settings)).first()
+        s = system_at(result.transform)
         if s["n"] < settings.min_correspondences:
             return result
         h = np.zeros((6, 6))
         for i in range(6):
             for j in range(i, 6):
                 h[i, j] = h[j, i] = s[f"h{i}{j}"]
-        delta = np.linalg.solve(h + settings.damping * np.eye(6), -np.array([s[f"b{i}"] for i in range(6)]))
+        delta = solver.step(h, np.array([s[f"b{i}"] for i in range(6)]), result.transform, s["error"], lambda t: system_at(t)["error"] or math.inf)
         result.transform = se3_exp(delta) @ result.transform
         result.iterations, result.fitness, result.rmse = k + 1, s["n"] / max(1, whole), math.sqrt(s["error"] / s["n"])
         result.covariance = np.linalg.inv(h + 1e-12 * np.eye(6))
@@ -160,4 +227,4 @@ def result_row(spark, r: Result) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame([([float(v) for v in r.transform[:3].ravel()], float(r.fitness), float(r.rmse), r.iterations, r.converged)], "transform array<double>, fitness double, rmse double, iterations int, converged boolean")
 
 
-__all__ = ["Result", "Settings", "align", "correspondences", "linearized", "regularized_voxels", "result_row", "voxel_correspondences"]
+__all__ = ["FACTORS", "Adaptive", "Damped", "Factor", "Result", "Settings", "align", "correspondences", "linearized", "regularized_voxels", "result_row", "voxel_correspondences"]

@@ -31,36 +31,44 @@ def within(left: DataFrame, right: DataFrame, radius: float, strict: bool = Fals
     return met.where(F.col("dist_sq") < radius * radius if strict else F.col("dist_sq") <= radius * radius).select("src_id", "dst_id", "dist_sq")
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, own: bool = True, most: int = 40) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float | None = None, own: bool = True, max_distance: float | None = None) -> DataFrame:
     """src_id, rank, dst_id, dist_sq: the k nearest right points of each left point, nearest first, ties to the smaller id.
 
-    radius is a first guess. A row is settled once k points lie within the radius searched; the others go on with
-    twice as much, until the radius spans all points.
+    radius is a first guess, else that of a ball which holds k points at the points' mean density. A row is settled once k
+    points lie within the radius searched; the others go on with twice as much, until the radius spans all points.
+    max_distance: only neighbours up to it count, and the search ends there.
     """
-    span = right.agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max)))).crossJoin(left.agg(*(f(c).alias(f"q{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))))).first()  # two rows of bounds
-    if span["lox"] is None or span["qlox"] is None:
-        return within(left, right, radius).withColumn("rank", F.lit(0)).select("src_id", "rank", "dst_id", "dist_sq").limit(0)
-    reach = sum((max(span[f"hi{c}"], span[f"qhi{c}"]) - min(span[f"lo{c}"], span[f"qlo{c}"])) ** 2 for c in "xyz") ** 0.5
-    open_, settled = left.select("point_id", "x", "y", "z"), []
+    bounds = lambda df, mark: df.agg(*(f(c).alias(f"{mark}{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))), F.count(F.lit(1)).alias(f"{mark}n")).first()
+    here, there = bounds(left, ""), bounds(right, "q")
+    if not here["n"] or not there["qn"]:
+        return within(left, right, 1.0).withColumn("rank", F.lit(0)).select("src_id", "rank", "dst_id", "dist_sq").limit(0)
+    reach = sum((max(here[f"hi{c}"], there[f"qhi{c}"]) - min(here[f"lo{c}"], there[f"qlo{c}"])) ** 2 for c in "xyz") ** 0.5
+    if radius is None:
+        sides = sorted((there[f"qhi{c}"] - there[f"qlo{c}"] for c in "xyz"), reverse=True)
+        room = sides[0] * max(sides[1], sides[0] / 100) * max(sides[2], sides[0] / 100)
+        radius = max((0.75 * room * (k + 1) / there["qn"]) ** (1 / 3), reach / 1000, 1e-9)
+    open_, settled, done = left.select("point_id", "x", "y", "z"), [], 0
     order = Window.partitionBy("src_id").orderBy("dist_sq", "dst_id")
-    for _ in range(most):
-        pairs = within(open_, right, radius)
+    while True:
+        far = radius >= reach or (max_distance is not None and radius >= max_distance)
+        pairs = within(open_, right, max_distance if far and max_distance is not None and max_distance <= radius else radius)
         if not own:
             pairs = pairs.where("src_id <> dst_id")
         top = stored(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "nearest")
-        if radius >= reach:
+        if far:
             settled.append(top)
             break
         full = top.where(F.col("rank") == k).select("src_id")
         settled.append(top.join(full, "src_id", "left_semi"))
-        open_ = stored(open_.join(full, open_["point_id"] == full["src_id"], "left_anti"), "open")
-        if open_.isEmpty():
+        done += full.count()
+        if done == here["n"]:
             break
+        open_ = open_.join(full, open_["point_id"] == full["src_id"], "left_anti")
         radius *= 2
-    out = settled[0]
+    out = settled[0].select("src_id", "rank", "dst_id", "dist_sq")
     for more in settled[1:]:
         out = out.union(more.select(out.columns))
-    return out.select("src_id", "rank", "dst_id", "dist_sq")
+    return out
 
 
 def radius_outliers_removed(points: DataFrame, radius: float, min_neighbours: int) -> DataFrame:
@@ -69,7 +77,7 @@ def radius_outliers_removed(points: DataFrame, radius: float, min_neighbours: in
     return points if min_neighbours <= 0 else points.join(crowd, points["point_id"] == crowd["src_id"], "left_semi")
 
 
-def statistical_outliers_removed(points: DataFrame, k: int = 10, deviations: float = 1.0, radius: float = 1.0) -> DataFrame:
+def statistical_outliers_removed(points: DataFrame, k: int = 10, deviations: float = 1.0, radius: float | None = None) -> DataFrame:
     """Points whose mean distance to their k nearest others is at most the mean of all plus so many deviations."""
     spread = stored(nearest(points, points, k, radius, own=False).groupBy("src_id").agg(F.avg(F.sqrt("dist_sq")).alias("d")), "spread")
     limit = spread.agg((F.avg("d") + deviations * F.stddev_pop("d")).alias("limit"))

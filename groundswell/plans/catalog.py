@@ -13,8 +13,7 @@ from ..functions.sensors import Constant, Lidar, Rgbd, with_covariance
 from ..functions.geometry import rotated_covariance
 from ..operators import asof, dem, estimate, filters, normals, raster, raycast, register, segment, spatial, stencil
 from ..operators import voxel as vox
-from ..sources import clouds, maps, trajectories
-from ..streaming.mapper import StreamingMapper, scans
+from ..sources import clouds, maps, messages, trajectories
 from . import views
 from .config import Mapping, PointFilter, Postprocess
 from .mapper import Mapper, postprocessed
@@ -264,7 +263,7 @@ def map_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("png_colors", f"""WITH m AS ({MAP_SQL}), s AS (SELECT list_sort(list(elevation)) AS a, count(*) AS n FROM m), e AS (SELECT a[1 + CAST(floor(n * 0.01) AS INT)] AS lo, a[1 + least(CAST(floor(n * 0.99) AS INT), n - 1)] AS hi FROM s)
-SELECT "row", "col", CAST(floor(greatest(0.0, least(1.0, (elevation - lo) / CASE WHEN hi - lo >= 1e-6 THEN hi - lo ELSE 1 END)) * 255) AS INT) AS r, 255 AS a FROM m, e""")
+SELECT "row", "col", CAST(floor(greatest(0.0, least(1.0, (elevation - lo) / CASE WHEN hi - lo >= 1e-6 THEN hi - lo ELSE 1 END)) * 255 + 0.5) AS INT) AS r, 255 AS a FROM m, e""")
 def png_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.shaded(terrain(spark, sf_dir), "elevation", colormap="grayscale").select("row", "col", "r", "a")
 
@@ -364,9 +363,15 @@ def terrain_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("cxz", F.col("cxz") + 0.0)
 
 
+def upright(df: DataFrame, digits: int) -> DataFrame:
+    """Features rounded; the sign of a normal that lies flat is open, so its parts are taken as they are without it."""
+    flat = F.abs(F.col("nz")) <= 1e-6
+    return rounded(df.withColumns({c: F.when(flat, F.abs(F.col(c))).otherwise(F.col(c)) for c in ("nx", "ny", "nz")}), digits)
+
+
 @query("terrain_features")
 def terrain_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stencil.terrain_features(terrain(spark, sf_dir), 0.5, radius=1.0), 4)
+    return upright(stencil.terrain_features(terrain(spark, sf_dir), 0.5, radius=1.0), 4)
 
 
 # --- neighbours -----------------------------------------------------------------------------------------------------
@@ -427,12 +432,12 @@ def build_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("normals_knn")
 def normals_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(normals.with_normals(views.vectors(spark, sf_dir), 10, viewpoint=(0.0, 0.0, 10.0), guess=0.7), 5)
+    return rounded(normals.with_normals(views.vectors(spark, sf_dir), 10, viewpoint=(0.0, 0.0, 10.0)), 5)
 
 
 @query("covariances_gicp")
 def covariances_gicp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(normals.with_normals(views.vectors(spark, sf_dir), 10, guess=0.7, covariances=True), 5)
+    return rounded(normals.with_normals(views.vectors(spark, sf_dir), 10, covariances=True), 5)
 
 
 # --- segmentation ---------------------------------------------------------------------------------------------------
@@ -444,16 +449,22 @@ def segment_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_ground(views.points(spark, sf_dir)).select("point_id", "ground")
 
 
+def facing_up(plane: tuple[float, float, float, float]) -> tuple[float, ...]:
+    return tuple(-v for v in plane) if plane[2] < 0 else plane
+
+
 @query("ransac_plane")
 def ransac_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plane, inliers, stats = segment.segment_plane(views.vectors(spark, sf_dir), threshold=0.3, iterations=300)
-    return spark.createDataFrame([(*(plane or (0.0, 0.0, 1.0, 0.0)), stats["fitness"], stats["inliers"], stats["iterations"])], "nx double, ny double, nz double, d double, fitness double, inliers long, iterations int")
+    plane, _, stats = segment.segment_plane(views.vectors(spark, sf_dir), threshold=0.3)
+    row = (*facing_up(plane or (0.0, 0.0, 1.0, 0.0)), stats["fitness"], stats["inliers"], stats["iterations"])
+    return rounded(spark.createDataFrame([row], "nx double, ny double, nz double, d double, fitness double, inliers long, iterations int"), 5)
 
 
 @query("multi_plane")
 def multi_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segment.segment_planes(views.vectors(spark, sf_dir), 3, 0.05, threshold=0.3, iterations=100)
-    return spark.createDataFrame([(i, *p, s["fitness"], s["inliers"]) for i, (p, _, s) in enumerate(found)], "plane_id int, nx double, ny double, nz double, d double, fitness double, inliers long")
+    found = segment.segment_planes(views.vectors(spark, sf_dir), 3, 0.05, threshold=0.3)
+    rows = [(i, *facing_up(p), s["fitness"], s["inliers"]) for i, (p, _, s) in enumerate(found)]
+    return rounded(spark.createDataFrame(rows, "plane_id int, nx double, ny double, nz double, d double, fitness double, inliers long"), 5)
 
 
 CLUSTERS_SQL = f"""WITH RECURSIVE v AS ({VECTORS_SQL}), e AS (SELECT a.point_id AS a, b.point_id AS b FROM v a, v b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.16),
@@ -488,11 +499,12 @@ def voxel_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.voxel_lookup(p, vox.voxel_distributions(p, 2.0), 2.0).select("point_id", "v_n", "v_mz"))
 
 
-@query("map_upsert", f"""WITH f AS ({FACTS_SQL}), a AS (SELECT "row", "col", min_z FROM f WHERE scan_id = 3), b AS (SELECT "row", "col", min_z FROM f WHERE scan_id = 4)
+@query("map_upsert", f"""WITH f AS ({FACTS_SQL}), a AS (SELECT "row", "col", min(min_z) AS min_z FROM f WHERE scan_id < 10 GROUP BY ALL), b AS (SELECT "row", "col", min(min_z) AS min_z FROM f WHERE scan_id >= 10 GROUP BY ALL)
 SELECT coalesce(b."row", a."row") AS "row", coalesce(b."col", a."col") AS "col", round(coalesce(b.min_z, a.min_z), 6) AS min_z FROM a FULL JOIN b ON a."row" = b."row" AND a."col" = b."col" """)
 def map_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts(spark, sf_dir).select("scan_id", "row", "col", "min_z")
-    return rounded(spatial.upserted(f.where("scan_id = 3"), f.where("scan_id = 4"), ["min_z"]))
+    """The map of the later scans put over that of the earlier ones."""
+    f = facts(spark, sf_dir).withColumn("late", F.col("scan_id") >= 10).groupBy("late", "row", "col").agg(F.min("min_z").alias("min_z"))
+    return rounded(spatial.upserted(f.where("NOT late").drop("late"), f.where("late").drop("late"), ["min_z"]))
 
 
 @query("elevation_at", f'SELECT "row", "col", round(elevation, 6) AS elevation FROM ({MAP_SQL}) WHERE "row" = 40 AND "col" = 44')
@@ -507,7 +519,7 @@ def layer_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cloud_message", f'SELECT CAST(24.75 - "row" * 0.5 AS DOUBLE) AS x, CAST(24.75 - "col" * 0.5 AS DOUBLE) AS y, round(elevation, 6) AS z, n_points FROM ({MAP_SQL})')
 def cloud_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(maps.cloud_message(terrain(spark, sf_dir), GRID).select("x", "y", "z", "n_points"))
+    return rounded(messages.map_points(terrain(spark, sf_dir), GRID).select("x", "y", "z", "n_points"))
 
 
 # --- rays, poses, registration, maps ----------------------------------------------------------------------------------
@@ -566,17 +578,16 @@ def _moved_copy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return transformed(v, Rigid.from_rpy(0.0, 0.0, 0.02, (0.05, -0.03, 0.02))), v
 
 
-for method in ("point", "plane", "gicp", "vgicp"):
-
-    def _register(spark: SparkSession, sf_dir: str, method: str = method) -> DataFrame:
-        source, target = _moved_copy(spark, sf_dir)
-        if method == "plane":
-            target = normals.with_normals(target, 10, guess=0.7)
-        elif method in ("gicp", "vgicp"):
-            source, target = (normals.with_normals(c, 10, guess=0.7, covariances=True) for c in (source, target))
-        return rounded(register.result_row(spark, register.align(source, target, method, settings=register.Settings(most_iterations=6))), 4)
-
-    query(f"icp_{method}")(_register)
+def _register(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    source, target = _moved_copy(spark, sf_dir)
+    if method == "plane":
+        target = normals.with_normals(target, 10)
+    elif method in ("gicp", "vgicp"):
+        source, target = (normals.with_normals(c, 10, covariances=True) for c in (source, target))
+    found = register.align(source, target, method)
+    names = [f"r{i}{j}" if j < 3 else f"t{i}" for i in range(3) for j in range(4)]
+    row = spark.createDataFrame([(*map(float, found.transform[:3].ravel()), float(found.fitness))], ", ".join(f"{n} double" for n in [*names, "fitness"]))
+    return rounded(row, 3)
 
 
 @query("icp_step", f"""WITH t AS ({VECTORS_SQL}), s AS (SELECT point_id, x + 0.05 AS x, y AS y, z AS z FROM t), p AS (SELECT s.*, t.x AS qx, t.y AS qy, t.z AS qz, row_number() OVER (PARTITION BY s.point_id ORDER BY (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z), t.point_id) AS k, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) + (s.z - t.z) * (s.z - t.z) AS d2 FROM s, t)
@@ -588,14 +599,24 @@ def icp_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pairs.agg(*register.linearized(pairs, "point", register.Settings())).select("h33", "b0", "error", "n"), 3)
 
 
-def _map(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    scans = views.points(spark, sf_dir).withColumns({"frame_id": F.lit("lidar"), "scan_ts": F.col("scan_id").cast("double")})
+def scan_mapper(spark: SparkSession, mode: str) -> Mapper:
+    """Scans from a sensor that moves a metre along x between them."""
     extrinsics = spark.createDataFrame([("lidar", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)], "frame_id string, tx double, ty double, tz double, qx double, qy double, qz double, qw double")
     poses = spark.range(20).select(F.col("id").cast("double").alias("ts"), F.col("id").cast("double").alias("tx"), *[F.lit(v).alias(n) for n, v in (("ty", 0.0), ("tz", 0.0), ("qx", 0.0), ("qy", 0.0), ("qz", 0.0), ("qw", 1.0))])
     size = 100.0 if mode == "global" else 20.0
     config = Mapping(mode=mode, sensor=Lidar(), point_filter=PointFilter(0.1, 0.9, 0.5, 20.0), length_x=size, length_y=size, resolution=0.5)
-    mapper = Mapper(config).with_providers(extrinsics, poses, 0.5)
-    return rounded(mapper.mapped(scans).select("row", "col", "elevation", "n_points"))
+    return Mapper(config).with_providers(extrinsics, poses, 0.5)
+
+
+def timed_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.points(spark, sf_dir).withColumns({"frame_id": F.lit("lidar"), "scan_ts": F.col("scan_id").cast("double")})
+
+
+MAP_LAYERS = ("row", "col", "elevation", "n_points", "elevation_min", "elevation_max", "obstacle", "intensity", "color")
+
+
+def _map(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    return rounded(scan_mapper(spark, mode).mapped(timed_scans(spark, sf_dir)).select(*MAP_LAYERS))
 
 
 @query("global_map")
@@ -611,8 +632,9 @@ def local_window_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("postprocess_map")
 def postprocess_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion, inpainting and terrain features in the order of the node's post-processing."""
-    cells = terrain(spark, sf_dir).withColumnsRenamed({"elevation_min": "lower_bound", "elevation_max": "upper_bound"})
-    return rounded(postprocessed(cells, GRID, Postprocess()), 4)
+    cells = terrain(spark, sf_dir).select("row", "col", "elevation", F.col("elevation_min").alias("lower_bound"), F.col("elevation_max").alias("upper_bound"))
+    asked = Postprocess(inpaint=True, fuse=True, features=True, fusion_radius=1.0, fusion_sigma=0.5, feature_radius=1.0)
+    return upright(postprocessed(cells, GRID, asked), 4)
 
 
 # --- files and streams ------------------------------------------------------------------------------------------------
@@ -645,17 +667,6 @@ def tum_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trajectories.read_tum(spark, path).select(F.round(F.col("ts") * 1_000_000).cast("long").alias("micros"), "tx", "qz"), 4)
 
 
-@query("stream_map", KALMAN_MAP_SQL)
-def stream_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scans arrive five at a time as files, and a stream folds them into the map's states."""
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    arrived = views.seen(spark, sf_dir).withColumn("czz", F.lit(0.0009))
-    mapper = StreamingMapper(spark, GRID)
-    for first in range(0, 20, 5):
-        arrived.where(F.col("scan_id").between(first, first + 4)).write.mode("append").parquet(f"{folder}/in")
-        stream = scans(spark, f"{folder}/in", arrived.schema.simpleString()[7:-1].replace(":", " "), max_files=1 << 20)
-        mapper.start(stream, f"{folder}/offsets").awaitTermination()
-    return rounded(mapper.layers().drop("ghost_removal"))
-
+from . import catalog_twins  # noqa: E402,F401  the rest of the registry, and the twins of queries above
 
 __all__ = ["ORACLES", "QUERIES", "Grid", "flagship"]

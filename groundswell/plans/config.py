@@ -31,6 +31,28 @@ def positive(value: float, default: float, name: str) -> float:
     return default
 
 
+def mended(value: Any, name: str, **rules: tuple[Any, float]) -> Any:
+    """value with each field that its rule finds odd replaced, and said so. rules: a test of sound values, and what takes an odd one's place."""
+    odd = {f: new for f, (sound, new) in rules.items() if hasattr(value, f) and not sound(getattr(value, f))}
+    for f, new in odd.items():
+        warnings.warn(f"{name}.{f} ({getattr(value, f)}) is out of range; {new} is used", stacklevel=4)
+    return dataclasses.replace(value, **odd) if odd else value
+
+
+def above(v: float) -> bool:
+    return v > 0
+
+
+def not_below(v: float) -> bool:
+    return v >= 0
+
+
+#: What takes the place of odd values. (fixed values)
+KALMAN_RULES = {"min_variance": (above, 1e-4), "process_noise": (not_below, 0.0)}
+RAY_RULES = {"threshold": (above, 0.05), "observed": (above, 0.4), "ghost": (above, 0.2), "most": (above, 2.0), "clear": (lambda v: v < 0, -1.0)}
+SENSOR_RULES = {"range_noise": (above, 0.02), "angular_noise": (not_below, 0.0), "sigma": (above, 0.1), "a": (not_below, 0.0), "b": (not_below, 0.0), "c": (not_below, 0.0), "lateral": (not_below, 0.0)}
+
+
 @dataclass(frozen=True)
 class PointFilter:
     z_low: float = -math.inf
@@ -44,6 +66,10 @@ class Raycasting:
     enabled: bool = False
     visibility: Visibility = Visibility()
 
+    def __post_init__(self) -> None:
+        if self.enabled:
+            object.__setattr__(self, "visibility", mended(self.visibility, "raycasting", **RAY_RULES))
+
 
 @dataclass(frozen=True)
 class Mapping:
@@ -61,6 +87,10 @@ class Mapping:
     def __post_init__(self) -> None:
         if self.kalman.min_variance >= self.kalman.max_variance:
             raise ValueError("the least variance must be below the greatest")
+        object.__setattr__(self, "kalman", mended(self.kalman, "kalman", **KALMAN_RULES))
+        p2 = mended(self.p2, "p2", marker=(lambda v: 0 <= v <= 4, min(4, max(0, self.p2.marker))), quantiles=(lambda q: all(0 <= v <= 1 for v in q), tuple(min(1.0, max(0.0, v)) for v in self.p2.quantiles)))
+        object.__setattr__(self, "p2", p2)
+        object.__setattr__(self, "sensor", mended(self.sensor, "sensor", **SENSOR_RULES))
         for name in ("length_x", "length_y", "resolution"):
             object.__setattr__(self, name, positive(getattr(self, name), type(self).__dataclass_fields__[name].default, name))
         object.__setattr__(self, "mode", chosen(self.mode, MODES, "local"))

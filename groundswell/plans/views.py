@@ -8,9 +8,11 @@ from ..functions.geometry import Grid
 
 GRID = Grid(50.0, 50.0, 0.5)
 
+#: A line's number, for any number of lines: two linear hashes of its keys modulo 2**31 - 1, side by side.
+LINE = "((l_orderkey * 8 + l_linenumber) % 2147483647 * {0} + l_partkey % 2147483647 * {1} + l_suppkey % 2147483647 * {2}) % 2147483647"
 #: Scans over lineitem: 20 scans; coordinates and channels follow from keys and measures.
 POINT = {
-    "point_id": "((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey",
+    "point_id": f"{LINE.format(48271, 69621, 16807)} * 2147483648 + {LINE.format(39373, 40014, 40692)}",
     "scan_id": "CAST(l_orderkey % 20 AS INT)",
     "x": "l_quantity - 25.5 + CAST((l_partkey * 37) % 100 AS DOUBLE) / 100 - 0.5",
     "y": "CAST((l_suppkey * 7919 + l_partkey * 104729 + l_linenumber * 31) % 5000 AS DOUBLE) / 100 - 25",

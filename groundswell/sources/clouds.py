@@ -137,7 +137,11 @@ def decoded_pcd(files: DataFrame) -> DataFrame:
 
 
 def read_pcd_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """file, width, height, viewpoint (tx, ty, tz, qw, qx, qy, qz)."""
+    return pcd_metadata(_files(spark, path))
+
+
+def pcd_metadata(files: DataFrame) -> DataFrame:
+    """Of files (path, content): file, width, height, viewpoint (tx, ty, tz, qw, qx, qy, qz)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +149,7 @@ def read_pcd_metadata(spark: SparkSession, path: str) -> DataFrame:
             view = [list(map(float, h.get("VIEWPOINT", ["0", "0", "0", "1", "0", "0", "0"]))) for h in heads]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(h["WIDTH"][0]) for h in heads]), pa.array([int(h.get("HEIGHT", ["1"])[0]) for h in heads]), pa.array(view)], names=["file", "width", "height", "viewpoint"])
 
-    return _files(spark, path).mapInArrow(run, "file string, width long, height long, viewpoint array<double>")
+    return files.select("path", "content").mapInArrow(run, "file string, width long, height long, viewpoint array<double>")
 
 
 def bin_bytes(columns: dict[str, np.ndarray], ring: bool = False) -> bytes:
@@ -184,7 +188,19 @@ def encoded(points: DataFrame, kind: str = "pcd", by: str = "scan_id", **options
     return grouped.mapInArrow(run, f"{by} {points.schema[by].dataType.simpleString()}, content binary")
 
 
-def write_file(path: str, content: bytes) -> None:
-    """A single file beside the driver, as command-line use wants it."""
-    with open(path, "wb") as f:
-        f.write(content)
+def write_files(files: DataFrame, folder: str) -> None:
+    """Files (path, content) into a folder of any store that Spark knows, one after another through the driver."""
+    from ..plans.tables import file_system
+
+    for row in files.select("path", "content").toLocalIterator():
+        fs, at = file_system(files.sparkSession, f"{folder}/{row['path']}" if folder else row["path"])
+        out = fs.create(at, True)
+        out.write(row["content"])
+        out.close()
+
+
+def from_columns(spark: SparkSession, columns: dict[str, np.ndarray]) -> DataFrame:
+    """Points of another library's cloud, channel by channel; point_id is their place."""
+    n = len(columns["x"])
+    ids = {} if "point_id" in columns else {"point_id": np.arange(n)}
+    return spark.createDataFrame(pa.table({c: pa.array(v) for c, v in (ids | columns).items()}))

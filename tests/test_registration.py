@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundswell.functions.geometry import Rigid, transformed
-from groundswell.operators import register
+from groundswell.operators import normals, register
 
 
 def test_point_to_point_recovers_a_known_motion(spark):
@@ -19,3 +20,49 @@ def test_too_few_points_give_the_guess(spark):
     assert not got.converged and np.allclose(got.transform, np.eye(4)) and got.fitness == 0.0
     with pytest.raises(ValueError):
         register.align(few, few, "plane")
+
+
+def bumpy(spark, n=400):
+    rng = np.random.default_rng(11)
+    xy = rng.uniform(-3, 3, (n, 2))
+    z = 0.4 * np.sin(1.3 * xy[:, 0]) + 0.3 * np.cos(1.7 * xy[:, 1])
+    return spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.c_[xy, z])], "point_id long, x double, y double, z double")
+
+
+@pytest.mark.parametrize("method", ["plane", "gicp", "vgicp", "adaptive", "none", "own"])
+def test_each_method_recovers_a_known_motion(spark, method):
+    target = bumpy(spark)
+    motion = Rigid.from_rpy(0.01, -0.01, 0.03, (0.04, -0.03, 0.02))
+    source = transformed(target, motion)
+    options = {"adaptive": {"solver": register.Adaptive()}, "none": {"solver": register.Damped(0.0)}}.get(method, {})
+    if method in ("plane", "gicp", "vgicp"):
+        source, target = (normals.with_normals(c, 10, covariances=True) for c in (source, target))
+        found = register.align(source, target, method, settings=register.Settings(most_iterations=15, voxel=0.8))
+    elif method == "own":  # half of the points weigh nothing
+        weight = lambda pairs, s: register.system(register.cross_jacobian(), [F.col(a) - F.col(b) for a, b in zip("xyz", ("qx", "qy", "qz"), strict=True)], None, F.when(F.col("point_id") % 2 == 0, 1.0).otherwise(0.0))
+        found = register.align(source, target, register.Factor(lambda here, t, s: register.correspondences(here, t, 0.5), weight))
+    else:
+        found = register.align(source, target, settings=register.Settings(most_iterations=15), **options)
+    apart = found.transform @ motion.matrix
+    assert np.abs(apart - np.eye(4)).max() < (0.02 if method == "vgicp" else 1e-3) and found.fitness > 0.95
+
+
+def test_missing_channels_raise_and_few_pairs_give_the_guess(spark):
+    p = bumpy(spark, 12)
+    for method in ("plane", "gicp", "vgicp"):
+        with pytest.raises(ValueError):
+            register.align(p, p, method)
+    far = p.withColumn("x", F.col("x") + 1000)
+    got = register.align(far, p)
+    assert not got.converged and (got.transform == np.eye(4)).all() and got.fitness == 0.0
+
+
+def test_normals_of_planes_and_lone_points(spark):
+    rows = [(i, 0.5 * (i % 5), 0.5 * (i // 5), 0.0) for i in range(25)] + [(99, 50.0, 50.0, 50.0)]
+    p = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
+    got = {r["point_id"]: r for r in normals.with_normals(p, None, 0.8, (0.0, 0.0, 5.0), covariances=True).collect()}
+    assert all(abs(got[i]["nz"] - 1) < 1e-9 for i in range(25)) and got[99]["nz"] == 0.0
+    assert got[0]["czz"] == pytest.approx(1e-3) and got[0]["cxx"] == pytest.approx(1.0) and got[99]["czz"] == 1.0
+    odd = normals.with_normals(p, 5, covariances=True).withColumn("cxy", F.when(F.col("point_id") == 3, float("nan")).otherwise(F.col("cxy")))
+    mended = {r["point_id"]: r for r in normals.mended_covariances(odd).collect()}
+    assert (mended[3]["cxx"], mended[3]["cxy"]) == (1e-3, 0.0) and mended[4]["cxx"] == pytest.approx(1.0)

@@ -53,23 +53,3 @@ def test_config(tmp_path):
         config.of(config.Mapping, {"kalman": {"min_variance": 1.0}})
     with pytest.warns(UserWarning):
         assert config.of(config.Mapping, {"mode": "odd"}).mode == "local"
-
-
-def test_stream_equals_batch(spark, tmp_path):
-    from groundswell.operators import estimate
-    from groundswell.operators.raster import rasterized
-    from groundswell.streaming.mapper import StreamingMapper, scans
-
-    grid = Grid(10, 10, 0.5)
-    p = spark.range(400).select(F.col("id").alias("point_id"), (F.col("id") % 4).alias("scan_id"), (F.rand(1) * 8 - 4).alias("x"), (F.rand(2) * 8 - 4).alias("y"), F.rand(3).alias("z"))
-    p.write.parquet(str(tmp_path / "all"))
-    p = spark.read.parquet(str(tmp_path / "all"))
-    for k in range(4):
-        p.where(F.col("scan_id") == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    facts = rasterized(p, grid)
-    batch = estimate.layers(estimate.fold(facts.select("row", "col", "scan_id", F.col("min_z").alias("z"), F.lit(0.0).alias("variance"))))
-    mapper = StreamingMapper(spark, grid)
-    q = mapper.start(scans(spark, str(tmp_path / "in"), "point_id long, scan_id long, x double, y double, z double"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    key = lambda df: {(r["row"], r["col"]): round(r["elevation"], 9) for r in df.collect()}
-    assert key(mapper.layers()) == key(batch)
