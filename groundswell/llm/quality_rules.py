@@ -210,10 +210,10 @@ def quality_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
     """df and a column that names the rule which rejected the document, null for those kept. known: measures that df has as
     columns of their names; all others are taken where a rule asks for them. order: instead of the measured one."""
     order = order if order is not None else [s.rule for s in measured_order(df, rules, text, sample_rows, known)]
-    words = unused(df, "words")
-    lazily = any((set(r.measures) - set(known)) & set(OF_WORDS) for r in rules)
-    with_words = df.withColumn(words, words_of(F.col(text))) if lazily else df
-    return with_words.withColumn(verdict, first_rejection(order, F.col(text), F.col(words), {k: F.col(k) for k in known})).drop(words)
+    held = {k: F.col(k) for k in known}
+    if any((set(r.measures) - set(known)) & set(OF_WORDS) for r in rules):  # one split, even where a filter takes the verdict's place
+        return df.withColumn(verdict, let(words_of(F.col(text)), lambda words: first_rejection(order, F.col(text), words, held)))
+    return df.withColumn(verdict, first_rejection(order, F.col(text), F.lit(None), held))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
