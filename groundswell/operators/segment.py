@@ -14,10 +14,17 @@ from .spatial import within
 
 
 def segment_ground(points: DataFrame, size: float = 0.5, percentile: float = 0.2, thickness: float = 0.3, max_height: float = 0.5, min_points: int = 2) -> DataFrame:
-    """points with ground: near the robust minimum of their cell, if that is low and the cell has enough points."""
+    """points with ground: near the robust minimum of their cell, if that is low and the cell has enough points.
+
+    The minimum is an element of the cell's heights, found from counts of equal heights that run up in order: a cell of
+    any number of points takes no array.
+    """
     celled = points.withColumns({"gx": cell(F.col("x"), size), "gy": cell(F.col("y"), size)})
-    low = celled.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("cell_n"), F.sort_array(F.collect_list("z")).alias("zs"))
-    low = low.select("gx", "gy", "cell_n", F.get("zs", F.floor(F.lit(percentile) * (F.col("cell_n") - 1)).cast("int")).alias("floor_z"))
+    whole = Window.partitionBy("gx", "gy")
+    heights = celled.groupBy("gx", "gy", "z").agg(F.count(F.lit(1)).alias("m"))
+    upto = F.sum("m").over(whole.orderBy(F.col("z").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = heights.withColumns({"cell_n": F.sum("m").over(whole), "upto": upto}).where(F.col("upto") > F.floor(F.lit(percentile) * (F.col("cell_n") - 1)))
+    low = ranked.groupBy("gx", "gy").agg(F.min("z").alias("floor_z"), F.max("cell_n").alias("cell_n"))
     ground = (F.col("cell_n") >= min_points) & (F.col("floor_z") <= max_height) & (F.col("z") <= F.col("floor_z") + thickness)
     return celled.join(low, ["gx", "gy"]).withColumn("ground", ground).select(*points.columns, "ground")
 
