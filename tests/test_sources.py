@@ -53,3 +53,12 @@ def test_config(tmp_path):
         config.of(config.Mapping, {"kalman": {"min_variance": 1.0}})
     with pytest.warns(UserWarning):
         assert config.of(config.Mapping, {"mode": "odd"}).mode == "local"
+
+
+def test_command_line(spark, tmp_path):
+    from groundswell.__main__ import main
+
+    r = np.random.default_rng(1)
+    (tmp_path / "in.pcd").write_bytes(clouds.pcd_bytes({"x": r.uniform(-2, 2, 200), "y": r.uniform(-2, 2, 200), "z": r.normal(0, 0.05, 200)}))
+    assert main([str(tmp_path / "in.pcd"), str(tmp_path / "out.pcd"), "0.25"]) == 0 and main([]) == 2
+    assert 100 < clouds.read_pcd(spark, str(tmp_path / "out.pcd")).count() <= 17 * 17
