@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geometry import cell, plane_distance, plane_from_points
@@ -13,6 +15,9 @@ from .graph import components
 from .spatial import within
 
 
+BLOCK = 2048  # points that meet all planes of a batch at once
+
+
 def segment_ground(points: DataFrame, size: float = 0.5, percentile: float = 0.2, thickness: float = 0.3, max_height: float = 0.5, min_points: int = 2) -> DataFrame:
     """points with ground: near the robust minimum of their cell, if that is low and the cell has enough points.
 
@@ -57,7 +62,28 @@ def numbered(points: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(bases), "__part").withColumn("n_th", F.col("__base") + F.row_number().over(Window.partitionBy("__part").orderBy("point_id")) - 1).drop("__part", "__base")
 
 
-def segment_plane(points: DataFrame, threshold: float = 0.1, iterations: int = 1000, probability: float = 0.99, min_inliers: int = 3, refine: bool = True, batch: int = 100) -> tuple[tuple[float, float, float, float] | None, DataFrame, dict]:
+def inlier_counts(lines: DataFrame, planes: list[tuple[float, float, float, float] | None], threshold: float) -> list[int]:
+    """How many rows (x, y, z) lie nearer to each plane than the threshold; 0 for none. One pass whose code does not depend on the
+    planes, so that nothing is compiled anew for each batch; a partition hands on one row a plane at most."""
+    asked = [i for i, p in enumerate(planes) if p]
+    nx, ny, nz, d = np.array([planes[i] for i in asked], dtype=np.float64).reshape(-1, 4).T[:, :, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(asked), dtype=np.int64)
+        for batch in batches:
+            x, y, z = (np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in batch.columns)
+            for at in range(0, len(x), BLOCK):
+                i = slice(at, at + BLOCK)
+                n += (np.abs(nx * x[i] + ny * y[i] + nz * z[i] + d) < threshold).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(asked, type=pa.int32()), pa.array(n)], names=["i", "n"])
+
+    counts = [0] * len(planes)
+    for r in lines.select("x", "y", "z").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():  # a row a plane
+        counts[r["i"]] = r["n"]
+    return counts
+
+
+def segment_plane(points: DataFrame, threshold: float = 0.1, iterations: int = 1000, probability: float = 0.99, min_inliers: int = 3, refine: bool = True, batch: int = 250) -> tuple[tuple[float, float, float, float] | None, DataFrame, dict]:
     """The plane with most points nearer than the threshold, its points, and n, inliers, fitness, iterations.
 
     Candidates come from a fixed sequence; a job counts a batch of them in one pass, and the accept-and-shorten rule
@@ -75,7 +101,7 @@ def segment_plane(points: DataFrame, threshold: float = 0.1, iterations: int = 1
         wanted = sorted({i for t in some for i in t})
         at = {r["n_th"]: np.array([r["x"], r["y"], r["z"]]) for r in lines.where(F.col("n_th").isin(wanted)).collect()}  # three a candidate
         planes = [plane_from_points(*(at[i] for i in t)) for t in some]
-        counts = lines.agg(*[F.count_if(F.abs(plane_distance(*map(F.lit, p))) < threshold).alias(f"c{i}") if p else F.lit(0).alias(f"c{i}") for i, p in enumerate(planes)]).first()
+        counts = inlier_counts(lines, planes, threshold)
         for i, p in enumerate(planes):
             if done >= limit:
                 break
