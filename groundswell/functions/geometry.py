@@ -95,17 +95,30 @@ def rpy(r: Sequence[Column]) -> tuple[Column, Column, Column]:
     return F.when(tilted, F.atan2(r[7], r[8])).otherwise(F.lit(0.0)), pitch, F.when(tilted, F.atan2(r[3], r[0])).otherwise(F.atan2(-r[1], r[4]))
 
 
-def slerped(qa: Sequence[Column], qb: Sequence[Column], t: Column) -> list[Column]:
-    """Unit quaternions (x, y, z, w) interpolated along the shorter arc; linear where they almost agree."""
-    dot = sum((a * b for a, b in zip(qa, qb, strict=True)), F.lit(0.0))
-    sign, cos = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0)), F.least(F.abs(dot), F.lit(1.0))
-    angle = F.acos(cos)
-    flat = cos > 1 - 1e-10
+def slerp_weights(dot: Column, t: Column) -> tuple[Column, Column]:
+    """What two unit quaternions with this dot product weigh at t along the shorter arc; linear where they almost agree."""
+    cos = F.least(F.abs(dot), F.lit(1.0))
+    angle, flat = F.acos(cos), cos > 1 - 1e-10
     wa = F.when(flat, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * angle), F.sin(angle)))
-    wb = F.when(flat, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle))) * sign
+    wb = F.when(flat, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle)))
+    return wa, wb * F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
+def slerped(qa: Sequence[Column], qb: Sequence[Column], t: Column) -> list[Column]:
+    """Unit quaternions (x, y, z, w) interpolated along the shorter arc."""
+    wa, wb = slerp_weights(sum((a * b for a, b in zip(qa, qb, strict=True)), F.lit(0.0)), t)
     return [wa * a + wb * b for a, b in zip(qa, qb, strict=True)]
 
 
+def with_slerped(rows: DataFrame, qa: Sequence[Column], qb: Sequence[Column], t: Column, names: Sequence[str]) -> DataFrame:
+    """rows with slerped as columns. Dot product and weights are columns of their own on the way: written out four times in one
+    expression they would outgrow what the JVM compiles."""
+    held = ("__t", "__dot", "__wa", "__wb")
+    rows = rows.withColumns({"__t": t, "__dot": sum((a * b for a, b in zip(qa, qb, strict=True)), F.lit(0.0))})
+    rows = rows.withColumns(dict(zip(held[2:], slerp_weights(F.col("__dot"), F.col("__t")), strict=True)))
+    return rows.withColumns({n: F.col("__wa") * a + F.col("__wb") * b for n, a, b in zip(names, qa, qb, strict=True)}).drop(*held)
+
+
 def rotation_of(q: Sequence[Column]) -> list[Column]:
     """The rotation, row by row, of a unit quaternion x, y, z, w."""
     x, y, z, w = q

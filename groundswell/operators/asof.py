@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.geometry import XYZ, rotation_of, slerped
+from ..functions.geometry import XYZ, rotation_of, with_slerped
 from ..plans.tables import stored
 
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
@@ -48,12 +48,13 @@ def poses_at(queries: DataFrame, poses: DataFrame, by: tuple[str, ...] = (), cla
     if most_stale is not None:
         met = met.where(F.least(F.abs(F.col("ts") - F.col("__a.t")), F.abs(F.col("__b.t") - F.col("ts"))) <= most_stale)
     span = F.col("__b.t") - F.col("__a.t")
-    u = F.when(span <= 0, F.lit(0.0)).otherwise(F.try_divide(F.col("ts") - F.col("__a.t"), span))
-    linear = [c for c in columns if not c.startswith("q")]
-    out = {c: F.col(f"__a.{c}") + u * (F.col(f"__b.{c}") - F.col(f"__a.{c}")) for c in linear}
+    met = met.withColumn("__u", F.when(span <= 0, F.lit(0.0)).otherwise(F.try_divide(F.col("ts") - F.col("__a.t"), span)))
     turn = ("qx", "qy", "qz", "qw")
     if set(turn) <= set(columns):
-        out |= dict(zip(turn, slerped([F.col(f"__a.{c}") for c in turn], [F.col(f"__b.{c}") for c in turn], u), strict=True))
+        met = with_slerped(met, [F.col(f"__a.{c}") for c in turn], [F.col(f"__b.{c}") for c in turn], F.col("__u"), turn)
+    else:
+        turn = ()
+    out = {c: F.col(f"__a.{c}") + F.col("__u") * (F.col(f"__b.{c}") - F.col(f"__a.{c}")) for c in columns if c not in turn}
     return met.withColumns(out).select(*by, "ts", *[F.col(f"__row.{c}").alias(c) for c in extra], *columns)
 
 
@@ -62,9 +63,9 @@ def cut_by_time(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return stored(rows.repartitionByRange(*by, "ts").withColumn("__part", F.spark_partition_id()), "by-time")
 
 
-def moved(points: DataFrame, pose: tuple[str, ...] = POSE) -> DataFrame:
-    """Points moved by the pose in their own row."""
-    r = rotation_of([F.col(c) for c in pose[3:]])
+def moved(points: DataFrame, pose: tuple[str, ...] = POSE, turn: list[Column] | None = None) -> DataFrame:
+    """Points moved by the pose in their own row. turn: the pose's rotation, row by row, where a column holds it already."""
+    r = turn or rotation_of([F.col(c) for c in pose[3:]])
     v = [F.col(c) for c in XYZ]
     out = {c: r[3 * i] * v[0] + r[3 * i + 1] * v[1] + r[3 * i + 2] * v[2] + F.col(pose[i]) for i, c in enumerate(XYZ)}
     if {"nx", "ny", "nz"} <= set(points.columns):
@@ -114,7 +115,7 @@ def deskewed(points: DataFrame, start: list[Column], end: list[Column], mode: st
     share = sweep_share(points, mode, **options)
     alpha = F.col("alpha")
     names = ("__qx", "__qy", "__qz", "__qw")
-    share = share.withColumns(dict(zip(names, slerped(start[3:], end[3:], alpha), strict=True)))
+    share = with_slerped(share, start[3:], end[3:], alpha, names)
     r = rotation_of([F.col(n) for n in names])
     v = [F.col(c) for c in XYZ]
     world = [r[3 * i] * v[0] + r[3 * i + 1] * v[1] + r[3 * i + 2] * v[2] + start[i] + alpha * (end[i] - start[i]) - end[i] for i in range(3)]

@@ -8,7 +8,7 @@ drops a cell's state whenever the window of any scan since left it.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -70,34 +70,42 @@ class Mapper:
         """Points in the map frame with czz, after the filters in the base frame. Scans without extrinsic or pose are left out."""
         filters: PointFilter = self.config.point_filter
         p = with_covariance(points, self.config.sensor)
-        base = [f"b{c}" for c in POSE]
+        # Rotations are columns of the small tables, a row a frame or a scan, so that what runs for each point stays short.
+        base, turn_b, turn = [f"b{c}" for c in POSE], [f"__b{i}" for i in range(9)], [f"__r{i}" for i in range(9)]
         if self.extrinsics is not None:
-            p = lookup(p, self.extrinsics.select("frame_id", *[F.col(c).alias(b) for c, b in zip(POSE, base, strict=True)]))
+            frames = self.extrinsics.select("frame_id", *[F.col(c).alias(b) for c, b in zip(POSE, base, strict=True)])
+            p = lookup(p, self._turned(frames, base, turn_b))
         else:
-            p = p.withColumns({b: F.lit(1.0 if b == "bqw" else 0.0) for b in base})
-        p = point_filter(moved(p, tuple(base)), filters.z_low, filters.z_high, filters.range_low, filters.range_high)
+            p = self._turned(p.withColumns({b: F.lit(1.0 if b == "bqw" else 0.0) for b in base}), base, turn_b)
+        p = point_filter(moved(p, tuple(base), [F.col(c) for c in turn_b]), filters.z_low, filters.z_high, filters.range_low, filters.range_high)
         if self.poses is not None:
             scans = points.select("scan_id", F.col("scan_ts").alias("ts")).distinct()
-            p = p.join(poses_at(scans, self.poses, most_stale=self.most_stale).drop("ts"), "scan_id")
+            placed = poses_at(scans, self.poses, most_stale=self.most_stale).drop("ts")
+            p = p.join(stored(self._turned(placed, POSE, turn), "placed"), "scan_id")
         else:
-            p = p.withColumns({c: F.lit(1.0 if c == "qw" else 0.0) for c in POSE})
-        p = p.withColumn("czz", self._upright(base)).withColumns(self._sensor_place(base))
-        p = moved(p).drop(*base, *POSE)
+            p = self._turned(p.withColumns({c: F.lit(1.0 if c == "qw" else 0.0) for c in POSE}), POSE, turn)
+        p = self._upright(p, turn, turn_b).withColumns(self._sensor_place(base, turn))
+        p = moved(p, turn=[F.col(c) for c in turn]).drop(*base, *turn_b, *POSE, *turn)
         if self.on_preprocessed:
             self.on_preprocessed(p)
         return p
 
     @staticmethod
-    def _upright(base: list[str]) -> Column:
-        """The height variance in the map frame: the last row of both rotations around the sensor's covariance."""
-        a, b = rotation_of([F.col(c) for c in POSE[3:]]), rotation_of([F.col(c) for c in base[3:]])
-        r = [a[6] * b[j] + a[7] * b[3 + j] + a[8] * b[6 + j] for j in range(3)]
-        c = {k: F.col(f"c{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
-        return r[0] * r[0] * c["xx"] + r[1] * r[1] * c["yy"] + r[2] * r[2] * c["zz"] + 2 * (r[0] * r[1] * c["xy"] + r[0] * r[2] * c["xz"] + r[1] * r[2] * c["yz"])
+    def _turned(rows: DataFrame, pose: Sequence[str], names: list[str]) -> DataFrame:
+        return rows.withColumns(dict(zip(names, rotation_of([F.col(c) for c in pose[3:]]), strict=True)))
 
     @staticmethod
-    def _sensor_place(base: list[str]) -> dict[str, Column]:
-        r, t = rotation_of([F.col(c) for c in POSE[3:]]), [F.col(b) for b in base[:3]]
+    def _upright(p: DataFrame, turn: list[str], turn_b: list[str]) -> DataFrame:
+        """p with czz, the height variance in the map frame: the last row of both rotations around the sensor's covariance."""
+        a, b = [F.col(c) for c in turn], [F.col(c) for c in turn_b]
+        up = [f"__up{j}" for j in range(3)]
+        p = p.withColumns({up[j]: a[6] * b[j] + a[7] * b[3 + j] + a[8] * b[6 + j] for j in range(3)})
+        r, c = [F.col(u) for u in up], {k: F.col(f"c{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+        return p.withColumn("czz", r[0] * r[0] * c["xx"] + r[1] * r[1] * c["yy"] + r[2] * r[2] * c["zz"] + 2 * (r[0] * r[1] * c["xy"] + r[0] * r[2] * c["xz"] + r[1] * r[2] * c["yz"])).drop(*up)
+
+    @staticmethod
+    def _sensor_place(base: list[str], turn: list[str]) -> dict[str, Column]:
+        r, t = [F.col(c) for c in turn], [F.col(b) for b in base[:3]]
         return {o: r[3 * i] * t[0] + r[3 * i + 1] * t[1] + r[3 * i + 2] * t[2] + F.col(POSE[i]) for i, o in enumerate(("ox", "oy", "oz"))} | {"wx": F.col("tx"), "wy": F.col("ty")}
 
     def facts(self, prepared: DataFrame) -> DataFrame:
@@ -178,7 +186,7 @@ class Mapper:
     def mapped(self, points: DataFrame) -> DataFrame:
         """The map's layers after all scans, in order of scan_id."""
         prepared = self.preprocessed(points)
-        facts = self.facts(prepared)
+        facts = stored(self.facts(prepared), "facts")  # read several times below; points are not, but for rays
         last = facts.agg(F.max("scan_id").cast("long")).first()[0]
         states = estimate.in_slices(self.events(prepared, facts), self.folded, self.slice_scans)
         return self.layers(states, last)
