@@ -11,6 +11,7 @@ from ..functions.geometry import Rigid, normalized_angle, plane_distance, plane_
 from ..operators import asof, estimate, normals, raster, register, spatial
 from ..operators import voxel as vox
 from ..sources import clouds, maps, messages, trajectories
+from ..sources.pieces import PIECE
 from ..streaming.mapper import StreamingMapper, scans
 from . import views
 from .catalog import FACT_COLUMNS, KALMAN_MAP_SQL, MAP_LAYERS, NUMBERED_SQL, ORACLES, PAIRS_SQL, SPREAD_SQL, XYZ_SQL, _files_of, _inpaint_sql, _register, ids, query, rounded, scan_mapper, settled, terrain, timed_scans
@@ -467,7 +468,7 @@ def npz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("message_round_trip", f"SELECT CAST(scan_id AS INT) AS scan_id, point_id, round(x, 4) AS x, round(z, 4) AS z, round(intensity, 4) AS intensity, ring, round(t, 4) AS t, color FROM (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_id, x, z, intensity, ring, t, color FROM ({POINTS_SQL}))")
 def message_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each scan as a cloud message and back."""
-    back = messages.decoded(messages.encoded(views.points(spark, sf_dir)))
+    back = messages.decoded(messages.encoded(views.points(spark, sf_dir), piece=PIECE))
     return rounded(back.select("scan_id", "point_id", "x", "z", "intensity", "ring", "t", "color"), 4)
 
 

@@ -1,8 +1,8 @@
 """Point-cloud, grid-map and marker messages of robot middleware, as rows: what a bag reader yields, or a publisher sends.
 
 A cloud message is a row (frame_id, stamp, width, height, fields, point_step, data): fields say at which offset of a
-point each channel lies and of which type it is. Messages are decoded side by side, each vectorised; encoding gathers
-what one message holds, a scan or a map's rectangle.
+point each channel lies and of which type it is. Messages are decoded side by side, each vectorised; encoding takes what
+one message holds, a scan or a map's rectangle, through one task in batches.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import Grid
 from ..operators.raster import CELL
+from .pieces import PIECE, contents, cut, in_order, runs, spooled
 
 #: Numbers of field types in messages, with numpy's. (fixed values)
 INT8, UINT8, INT16, UINT16, INT32, UINT32, FLOAT32, FLOAT64 = range(1, 9)
@@ -30,7 +31,7 @@ FIELD = "struct<name:string,offset:int,datatype:int,count:int>"
 MESSAGE = f"frame_id string, stamp double, height int, width int, fields array<{FIELD}>, is_bigendian boolean, point_step int, row_step int, data binary, is_dense boolean"
 
 
-def message_points(fields: list[dict], step: int, data: bytes, count: int, big: bool = False) -> dict[str, np.ndarray]:
+def message_points(fields: list[dict], step: int, data: bytes | memoryview, count: int, big: bool = False) -> dict[str, np.ndarray]:
     """Channels of a message's points with finite coordinates."""
     count = min(count, len(data) // step) if step else 0
     raw = np.frombuffer(data, dtype=np.uint8, count=count * step).reshape(count, step)
@@ -60,21 +61,34 @@ def message_points(fields: list[dict], step: int, data: bytes, count: int, big:
 
 
 def decoded(messages: DataFrame, key: str = "scan_id") -> DataFrame:
-    """key, frame_id, stamp, point_id (place among the message's sound points) and channels; those that a message lacks are null."""
+    """key, frame_id, stamp, point_id (place among the message's sound points) and channels; those that a message lacks are null.
+    messages may come in pieces, as `encoded` makes them."""
     schema = messages.select(key, "frame_id", "stamp", F.lit(0).cast("long").alias("point_id"), *[F.lit(None).cast(t).alias(c) for c, t in CHANNELS.items()]).schema
     kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64()}
+    about = ["fields", "point_step", "width", "height", "is_bigendian"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, held, place, left = (None, -1), b"", 0, 0
         for batch in batches:
             heads = [batch.column(i).slice for i in range(3)]
-            for i, m in enumerate(batch.select(["fields", "point_step", "width", "height", "is_bigendian", "data"]).to_pylist()):
-                got = message_points(m["fields"], m["point_step"], m["data"], m["width"] * m["height"], bool(m["is_bigendian"]))
-                n = len(got["x"])
-                repeat = pa.array(np.zeros(n, dtype=np.int64))
-                same = [h(i, 1).take(repeat) for h in heads]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), *[pa.array(got[c]).cast(kinds[t], safe=False) if c in got else pa.nulls(n, kinds[t]) for c, t in CHANNELS.items()]], names=schema.names)
-
-    names = [key, "frame_id", "stamp", "fields", "point_step", "width", "height", "is_bigendian", "data"]
+            rows = batch.select(about).to_pylist()
+            for i, fresh, data, before in contents(batch, key, "data", before):
+                m, step = rows[i], rows[i]["point_step"]
+                if fresh:
+                    held, place, left = b"", 0, m["width"] * m["height"]
+                data = memoryview(held + data.to_pybytes() if held else data)
+                whole = min(left, len(data) // step) if step else 0
+                held, left = (bytes(data[whole * step :]) if left > whole and step else b""), left - whole
+                most = max(1, PIECE // step) if step else 1
+                for lo in range(0, max(1, whole), most):
+                    got = message_points(m["fields"], step, data[lo * step : (lo + most) * step], min(most, whole - lo), bool(m["is_bigendian"]))
+                    n = len(got["x"])
+                    repeat = pa.array(np.zeros(n, dtype=np.int64))
+                    same = [h(i, 1).take(repeat) for h in heads]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(place, place + n)), *[pa.array(got[c]).cast(kinds[t], safe=False) if c in got else pa.nulls(n, kinds[t]) for c, t in CHANNELS.items()]], names=schema.names)
+                    place += n
+
+    names = [key, "frame_id", "stamp", *about, *["piece"] * ("piece" in messages.columns), "data"]
     return messages.select(*names).mapInArrow(run, schema)
 
 
@@ -97,21 +111,38 @@ def packed(columns: dict[str, np.ndarray], floats: tuple[str, ...] = ()) -> tupl
     return fields, offset if len(record) else 0, record.tobytes()
 
 
-def encoded(points: DataFrame, by: str = "scan_id", frame_id: str = "map", stamp: Column | None = None, floats: tuple[str, ...] = ()) -> DataFrame:
-    """by and a message of all its points, in order of their ids."""
+def encoded(points: DataFrame, by: str = "scan_id", frame_id: str = "map", stamp: Column | None = None, floats: tuple[str, ...] = (), piece: int | None = None) -> DataFrame:
+    """by and a message of all its points, in order of their ids.
+
+    piece: also `piece`; the message's data in pieces of so many bytes at most, in order, each with the whole message's head, for
+    messages too large for one value. A scan passes one task, in batches; its data waits, beyond `HELD` on disk, until its end.
+    """
     names = [c for c in points.columns if c in floats or (not floats and c in CHANNELS) or c in "xyz"]
-    rows = points.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("point_id", *names))).alias("points"), F.max(stamp if stamp is not None else F.lit(0.0)).alias("stamp"))
-    ddl = f"{by} {points.schema[by].dataType.simpleString()}, {MESSAGE}"
+    rows = in_order(points, by, names, __stamp=(stamp if stamp is not None else F.lit(0.0)).cast("double"))
+    ddl = f"{by} {points.schema[by].dataType.simpleString()}, {'piece int, ' if piece is not None else ''}{MESSAGE}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for rows_, when in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                got = rows_.as_py()
-                fields, step, data = packed({c: np.array([p[c] for p in got], dtype=float) for c in names}, floats)
-                out.append({"frame_id": frame_id, "stamp": when, "height": 1, "width": len(got), "fields": [dict(zip(("name", "offset", "datatype", "count"), f, strict=True)) for f in fields] if got else [], "is_bigendian": False, "point_step": step, "row_step": step * len(got), "data": data, "is_dense": True})
-            table = pa.Table.from_pylist(out, schema=MESSAGE_ARROW)
-            yield from (pa.RecordBatch.from_arrays([batch.column(0), *b.columns], names=[by, *MESSAGE_ARROW.names]) for b in table.combine_chunks().to_batches())
+        def closed() -> Iterator[pa.RecordBatch]:
+            head = {"frame_id": frame_id, "stamp": when, "height": 1, "width": n, "fields": [dict(zip(("name", "offset", "datatype", "count"), f, strict=True)) for f in fields], "is_bigendian": False, "point_step": step, "row_step": step * n, "is_dense": True}
+            for k, data in cut(b"", held, piece):
+                row = pa.RecordBatch.from_pylist([head | {"data": data}], schema=MESSAGE_ARROW)
+                numbered = {"piece": pa.array([k], type=pa.int32())} if piece is not None else {}
+                yield pa.RecordBatch.from_arrays([key, *numbered.values(), *row.columns], names=[by, *numbered, *MESSAGE_ARROW.names])
+            held.close()
+
+        held = None
+        for fresh, some in runs(batches):
+            if fresh:
+                if held:
+                    yield from closed()
+                held, n, when, key = spooled(), 0, None, some.column(0).slice(0, 1)
+            fields, step, data = packed({c: some.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names}, floats)
+            held.write(data)
+            n += len(some)
+            if len(stamps := some.column("__stamp").drop_null().to_numpy()):
+                when = stamps.max() if when is None else np.maximum(when, stamps.max())
+        if held:
+            yield from closed()
 
     return rows.mapInArrow(run, ddl)
 

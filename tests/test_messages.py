@@ -41,6 +41,18 @@ def test_messages_keep_every_channel(spark):
     assert m.decoded(m.encoded(p.limit(0))).count() == 0
 
 
+def test_messages_in_pieces_are_the_messages(spark):
+    p = spark.range(300).select((F.col("id") % 2).cast("int").alias("scan_id"), F.col("id").alias("point_id"), *[F.when(F.col("id") % 7 == 3, float("nan")).otherwise(F.col("id") * k).alias(c) for k, c in enumerate("xyz")], F.col("id").cast("int").alias("ring"))
+    whole, pieces = m.encoded(p, stamp=F.col("point_id") * 1.0), m.encoded(p, stamp=F.col("point_id") * 1.0, piece=100)
+    found = pieces.orderBy("scan_id", "piece").collect()
+    for r in whole.collect():
+        own = [q for q in found if q["scan_id"] == r["scan_id"]]
+        assert len(own) > 1 and b"".join(q["data"] for q in own) == r["data"] and r["stamp"] == 298.0 + r["scan_id"]
+        assert all(q[c] == r[c] for q in own for c in r.asDict() if c != "data")
+    once, again = (sorted(tuple(map(str, r)) for r in m.decoded(df).collect()) for df in (whole, pieces))
+    assert once == again and len(once) == 300 - 43
+
+
 def test_grid_message_is_column_by_column(spark):
     grid = Grid(1.0, 1.5, 0.5)
     cells = spark.createDataFrame([(0, 0, 1.0, None), (1, 2, 2.0, 5.0)], "row long, col long, elevation double, variance double")
