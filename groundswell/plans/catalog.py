@@ -14,6 +14,7 @@ from ..functions.geometry import rotated_covariance
 from ..operators import asof, dem, estimate, filters, normals, raster, raycast, register, segment, spatial, stencil
 from ..operators import voxel as vox
 from ..sources import clouds, maps, messages, trajectories
+from ..sources.pieces import PIECE
 from . import views
 from .config import Mapping, PointFilter, Postprocess
 from .mapper import Mapper, postprocessed
@@ -642,10 +643,10 @@ def postprocess_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED_SQL = f"SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_id, x, y, z, intensity, color FROM ({POINTS_SQL})"
 
 
-def _files_of(spark: SparkSession, sf_dir: str, kind: str, *channels: str) -> DataFrame:
-    """Each scan as the bytes of one file, named by the scan."""
-    made = clouds.encoded(views.points(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z", *channels), kind)
-    return made.select(F.col("scan_id").cast("string").alias("path"), "content")
+def _files_of(spark: SparkSession, sf_dir: str, kind: str, *channels: str, **options: object) -> DataFrame:
+    """Each scan as the bytes of one file, named by the scan; in pieces, so that a scan of any size passes."""
+    made = clouds.encoded(views.points(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z", *channels), kind, piece=PIECE, **options)
+    return made.select(F.col("scan_id").cast("string").alias("path"), "piece", "content")
 
 
 @query("pcd_round_trip", f"SELECT scan_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(intensity, 4) AS intensity, color FROM ({NUMBERED_SQL})")

@@ -428,8 +428,7 @@ def nearest_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nuscenes_round_trip", f"SELECT scan_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(intensity, 4) AS intensity, ring FROM (SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS point_id, x, y, z, intensity, ring FROM ({POINTS_SQL}))")
 def nuscenes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = clouds.encoded(views.points(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z", "intensity", "ring"), "bin", ring=True)
-    back = clouds.decoded_bin(made.select(F.col("scan_id").cast("string").alias("path"), "content"), fields=5, ring=4)
+    back = clouds.decoded_bin(_files_of(spark, sf_dir, "bin", "intensity", "ring", ring=True), fields=5, ring=4)
     return rounded(back.select(F.col("file").cast("int").alias("scan_id"), "point_id", "x", "y", "z", "intensity", "ring"), 4)
 
 

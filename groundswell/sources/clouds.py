@@ -6,17 +6,22 @@ Reads go through Spark's binaryFile source and so through any store it knows; th
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from .pieces import contents, cut, in_order, runs, slices, spooled
 
 #: PCD type letters and sizes that are decoded, with their numpy types; others read as 0. (fixed values)
 PCD_TYPES = {("F", 4): "<f4", ("F", 8): "<f8", ("U", 1): "u1", ("U", 4): "<u4", ("I", 4): "<i4"}
 #: Other names of channels in PCD files. (fixed values)
 ALIASES = {"i": "intensity", "reflectivity": "intensity", "rgba": "rgb", "nx": "normal_x", "ny": "normal_y", "nz": "normal_z"}
 CHANNELS = {"x": "double", "y": "double", "z": "double", "intensity": "double", "rgb": "int", "normal_x": "double", "normal_y": "double", "normal_z": "double"}
+#: The line that ends a PCD header.
+HEADER_END = re.compile(rb"^[^\S\n]*DATA(?:[^\S\n][^\n]*)?\n", re.IGNORECASE | re.MULTILINE)
 NAMES = {"rgb": "color", "normal_x": "nx", "normal_y": "ny", "normal_z": "nz"}
 
 
@@ -24,15 +29,49 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _emit(frames: Iterator[tuple[str, dict[str, np.ndarray]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for file, columns in frames:
+def _emit(frames: Iterator[tuple[str, int, dict[str, np.ndarray]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Of file, place of the first point, and channels; those that are not there are null."""
+    for file, first, columns in frames:
         n = len(next(iter(columns.values())))
         for lo in range(0, n, 1 << 16):
             hi = min(n, lo + (1 << 16))
-            parts = [pa.array([file] * (hi - lo)), pa.array(np.arange(lo, hi))] + [pa.array(columns[f.name][lo:hi]).cast(f.type) for f in schema if f.name not in ("file", "point_id")]
+            parts = [pa.array([file] * (hi - lo)), pa.array(np.arange(first + lo, first + hi))] + [pa.array(columns[f.name][lo:hi]).cast(f.type) if f.name in columns else pa.nulls(hi - lo, f.type) for f in schema if f.name not in ("file", "point_id")]
             yield pa.RecordBatch.from_arrays(parts, schema=schema)
 
 
+class Reader:
+    """Takes the bytes of a file as they come, and gives the channels of the points that they complete."""
+
+    def fed(self, data: bytes | memoryview) -> dict[str, np.ndarray]:
+        raise NotImplementedError
+
+    def rest(self) -> dict[str, np.ndarray]:
+        """What is left at the file's end."""
+        return {}
+
+
+def _read(files: DataFrame, reader: Callable[[], Reader], columns: dict[str, str]) -> DataFrame:
+    ddl, schema = _arrow(columns)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, dict[str, np.ndarray]]]:
+        before, open_, place = (None, -1), None, 0
+        for batch in batches:
+            for _, fresh, data, at in contents(batch, "path", "content", before):
+                if fresh:
+                    if open_ and (got := open_.rest()):
+                        yield before[0], place, got
+                    open_, place = reader(), 0
+                before = at
+                for part in slices(data):
+                    if got := open_.fed(part):
+                        yield at[0], place, got
+                        place += len(got["x"])
+        if open_ and (got := open_.rest()):
+            yield before[0], place, got
+
+    return files.select(*[c for c in ("path", "content", "piece") if c in files.columns]).mapInArrow(lambda b: _emit(frames(b), schema), ddl)
+
+
 def _arrow(columns: dict[str, str]) -> tuple[str, pa.Schema]:
     kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string()}
     every = {"file": "string", "point_id": "long"} | columns
@@ -43,23 +82,27 @@ def read_bin(spark: SparkSession, path: str, fields: int = 4, intensity: int | N
     return decoded_bin(_files(spark, path), fields, intensity, ring)
 
 
-def decoded_bin(files: DataFrame, fields: int = 4, intensity: int | None = 3, ring: int | None = None) -> DataFrame:
-    """Of files (path, content): file, point_id (place in the file), x, y, z, intensity[, ring]; a last record that is cut short is left out."""
-    columns = {"x": "double", "y": "double", "z": "double"} | ({"intensity": "double"} if intensity is not None else {}) | ({"ring": "int"} if ring is not None else {})
-    ddl, schema = _arrow(columns)
+class BinReader(Reader):
+    def __init__(self, fields: int, intensity: int | None, ring: int | None) -> None:
+        self.fields, self.intensity, self.ring, self.held = fields, intensity, ring, b""
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = np.frombuffer(content.as_py(), dtype="<f4", count=len(content.as_py()) // (4 * fields) * fields).reshape(-1, fields)
-                out = {c: raw[:, k].astype(float) for k, c in enumerate("xyz")}
-                if intensity is not None:
-                    out["intensity"] = raw[:, intensity].astype(float)
-                if ring is not None:
-                    out["ring"] = raw[:, ring].astype(np.int32)
-                yield file, out
+    def fed(self, data: bytes | memoryview) -> dict[str, np.ndarray]:
+        data = self.held + bytes(data)
+        n = len(data) // (4 * self.fields)
+        self.held = data[4 * self.fields * n :]
+        raw = np.frombuffer(data, dtype="<f4", count=n * self.fields).reshape(-1, self.fields)
+        out = {c: raw[:, k].astype(float) for k, c in enumerate("xyz")}
+        if self.intensity is not None:
+            out["intensity"] = raw[:, self.intensity].astype(float)
+        if self.ring is not None:
+            out["ring"] = raw[:, self.ring].astype(np.int32)
+        return out
 
-    return files.mapInArrow(lambda b: _emit(frames(b), schema), ddl)
+
+def decoded_bin(files: DataFrame, fields: int = 4, intensity: int | None = 3, ring: int | None = None) -> DataFrame:
+    """Of files (path, content[, piece]): file, point_id (place in the file), x, y, z, intensity[, ring]; a last record that is cut short is left out."""
+    columns = {"x": "double", "y": "double", "z": "double"} | ({"intensity": "double"} if intensity is not None else {}) | ({"ring": "int"} if ring is not None else {})
+    return _read(files, lambda: BinReader(fields, intensity, ring), columns)
 
 
 def read_kitti(spark: SparkSession, path: str) -> DataFrame:
@@ -88,33 +131,56 @@ def pcd_header(content: bytes) -> tuple[dict[str, list[str]], bytes]:
     return header, stream.read()
 
 
-def pcd_points(content: bytes) -> dict[str, np.ndarray]:
-    header, body = pcd_header(content)
-    n = int(header["WIDTH"][0]) * int(header.get("HEIGHT", ["1"])[0])
-    kinds = [(t.upper(), int(s)) for t, s in zip(header["TYPE"], header["SIZE"], strict=True)]
-    counts = list(map(int, header["COUNT"]))
-    names = [ALIASES.get(f.lower(), f.lower()) for f in header["FIELDS"]]
-    out: dict[str, np.ndarray] = {}
-    if header["DATA"][0].lower() == "ascii":
-        rows = [r for line in body.decode("ascii", "replace").splitlines() if (r := line.split())][:n]
-        at = 0
-        for name, kind, count in zip(names, kinds, counts, strict=True):
-            if name in CHANNELS:
-                out[name] = np.array([float(r[at]) for r in rows]) if kind in PCD_TYPES else np.zeros(len(rows))
-            at += count
-        if "rgb" in out and kinds[names.index("rgb")][0] == "F":
-            out["rgb"] = out["rgb"].astype("<f4").view("<i4")
-    else:
-        record = np.dtype([(f"f{i}", PCD_TYPES.get(k, f"V{k[1]}"), (c,)) for i, (k, c) in enumerate(zip(kinds, counts, strict=True))])
-        data = np.frombuffer(body, dtype=record, count=min(n, len(body) // record.itemsize))
-        for i, (name, kind) in enumerate(zip(names, kinds, strict=True)):
-            if name in CHANNELS:
-                v = data[f"f{i}"][:, 0]
-                v = np.ascontiguousarray(v).view("<i4") if name == "rgb" and kind == ("F", 4) else v
-                out[name] = v if kind in PCD_TYPES else np.zeros(len(data))
-    if "rgb" in out:
-        out["rgb"] = out["rgb"].astype(np.int64) & 0xFFFFFF
-    return out
+class PcdReader(Reader):
+    def __init__(self) -> None:
+        self.held, self.header = b"", None
+
+    def begun(self, data: bytes) -> bytes:
+        """Takes the header off, and keeps what it says of the points."""
+        header, data = pcd_header(data)
+        self.left = int(header["WIDTH"][0]) * int(header.get("HEIGHT", ["1"])[0])
+        self.kinds = [(t.upper(), int(s)) for t, s in zip(header["TYPE"], header["SIZE"], strict=True)]
+        self.counts = list(map(int, header["COUNT"]))
+        self.names = [ALIASES.get(f.lower(), f.lower()) for f in header["FIELDS"]]
+        self.record = np.dtype([(f"f{i}", PCD_TYPES.get(k, f"V{k[1]}"), (c,)) for i, (k, c) in enumerate(zip(self.kinds, self.counts, strict=True))])
+        self.header = header
+        return data
+
+    def fed(self, data: bytes | memoryview, last: bool = False) -> dict[str, np.ndarray]:
+        data = self.held + bytes(data)
+        if self.header is None:
+            if not last and not HEADER_END.search(data):
+                self.held = data
+                return {}
+            data = self.begun(data)
+        out: dict[str, np.ndarray] = {}
+        if self.header["DATA"][0].lower() == "ascii":
+            end = len(data) if last else data.rfind(b"\n") + 1
+            rows = [r for line in data[:end].decode("ascii", "replace").splitlines() if (r := line.split())][: self.left]
+            self.left -= len(rows)
+            at = 0
+            for name, kind, count in zip(self.names, self.kinds, self.counts, strict=True):
+                if name in CHANNELS:
+                    out[name] = np.array([float(r[at]) for r in rows]) if kind in PCD_TYPES else np.zeros(len(rows))
+                at += count
+            if "rgb" in out and self.kinds[self.names.index("rgb")][0] == "F":
+                out["rgb"] = out["rgb"].astype("<f4").view("<i4")
+        else:
+            points = np.frombuffer(data, dtype=self.record, count=min(self.left, len(data) // self.record.itemsize))
+            self.left -= len(points)
+            end = len(points) * self.record.itemsize
+            for i, (name, kind) in enumerate(zip(self.names, self.kinds, strict=True)):
+                if name in CHANNELS:
+                    v = points[f"f{i}"][:, 0]
+                    v = np.ascontiguousarray(v).view("<i4") if name == "rgb" and kind == ("F", 4) else v
+                    out[name] = v if kind in PCD_TYPES else np.zeros(len(points))
+        self.held = data[end:] if self.left else b""
+        if "rgb" in out:
+            out["rgb"] = out["rgb"].astype(np.int64) & 0xFFFFFF
+        return {NAMES.get(c, c): v for c, v in out.items()}
+
+    def rest(self) -> dict[str, np.ndarray]:
+        return self.fed(b"", last=True)
 
 
 def read_pcd(spark: SparkSession, path: str) -> DataFrame:
@@ -122,18 +188,8 @@ def read_pcd(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded_pcd(files: DataFrame) -> DataFrame:
-    """Of files (path, content): file, point_id, x, y, z, intensity, color, nx, ny, nz; channels that a file lacks are null."""
-    columns = {NAMES.get(n, n): t for n, t in CHANNELS.items()}
-    ddl, schema = _arrow(columns)
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, object]]]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = pcd_points(content.as_py())
-                n = len(got["x"])
-                yield file, {NAMES.get(c, c): got[c] if c in got else np.array([None] * n, dtype=object) for c in CHANNELS}
-
-    return files.mapInArrow(lambda b: _emit(frames(b), schema), ddl)
+    """Of files (path, content[, piece]): file, point_id, x, y, z, intensity, color, nx, ny, nz; channels that a file lacks are null."""
+    return _read(files, PcdReader, {NAMES.get(n, n): t for n, t in CHANNELS.items()})
 
 
 def read_pcd_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +197,9 @@ def read_pcd_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pcd_metadata(files: DataFrame) -> DataFrame:
-    """Of files (path, content): file, width, height, viewpoint (tx, ty, tz, qw, qx, qy, qz)."""
+    """Of files (path, content[, piece]): file, width, height, viewpoint (tx, ty, tz, qw, qx, qy, qz)."""
+    if "piece" in files.columns:  # the header is in the first
+        files = files.where("piece = 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,34 +216,66 @@ def bin_bytes(columns: dict[str, np.ndarray], ring: bool = False) -> bytes:
     return np.stack([np.asarray(columns.get(c, np.zeros(n)), dtype=float) for c in names], 1).astype("<f4").tobytes()
 
 
-def pcd_bytes(columns: dict[str, np.ndarray], binary: bool = True, viewpoint: tuple[float, ...] = (0, 0, 0, 1, 0, 0, 0), precision: int = 8) -> bytes:
-    """x, y, z and, where there, intensity, rgb and normals, as one row of points."""
-    there = [c for c in CHANNELS if NAMES.get(c, c) in columns]
-    n = len(columns["x"])
-    kinds = ["U" if c == "rgb" else "F" for c in there]
+def _pcd_fields(names: Iterable[str]) -> tuple[list[str], list[str]]:
+    there = [c for c in CHANNELS if NAMES.get(c, c) in names]
+    return there, ["U" if c == "rgb" else "F" for c in there]
+
+
+def pcd_head(names: Iterable[str], n: int, binary: bool = True, viewpoint: tuple[float, ...] = (0, 0, 0, 1, 0, 0, 0)) -> bytes:
+    there, kinds = _pcd_fields(names)
     head = ["# .PCD v0.7 - Point Cloud Data file format", "VERSION 0.7", "FIELDS " + " ".join(there), "SIZE " + " ".join(["4"] * len(there)), "TYPE " + " ".join(kinds), "COUNT " + " ".join(["1"] * len(there)), f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT " + " ".join(f"{v:g}" for v in viewpoint), f"POINTS {n}", f"DATA {'binary' if binary else 'ascii'}", ""]
+    return "\n".join(head).encode()
+
+
+def pcd_body(columns: dict[str, np.ndarray], binary: bool = True, precision: int = 8) -> bytes:
+    there, kinds = _pcd_fields(columns)
     values = [np.asarray(columns[NAMES.get(c, c)]) for c in there]
     if binary:
-        record = np.zeros(n, dtype=[(c, "<u4" if k == "U" else "<f4") for c, k in zip(there, kinds, strict=True)])
+        record = np.zeros(len(columns["x"]), dtype=[(c, "<u4" if k == "U" else "<f4") for c, k in zip(there, kinds, strict=True)])
         for c, v in zip(there, values, strict=True):
             record[c] = v
-        return "\n".join(head).encode() + record.tobytes()
-    rows = [" ".join(str(int(v)) if k == "U" else f"{v:.{precision}g}" for v, k in zip(r, kinds, strict=True)) for r in zip(*values, strict=True)]
-    return ("\n".join(head) + "\n".join(rows) + "\n").encode()
+        return record.tobytes()
+    line = " ".join("%d" if k == "U" else f"%.{precision}g" for k in kinds) + "\n"
+    return "".join([line % r for r in zip(*[v.tolist() for v in values], strict=True)]).encode()
+
+
+def pcd_bytes(columns: dict[str, np.ndarray], binary: bool = True, viewpoint: tuple[float, ...] = (0, 0, 0, 1, 0, 0, 0), precision: int = 8) -> bytes:
+    """x, y, z and, where there, intensity, rgb and normals, as one row of points."""
+    return pcd_head(columns, len(columns["x"]), binary, viewpoint) + pcd_body(columns, binary, precision)
 
 
-def encoded(points: DataFrame, kind: str = "pcd", by: str = "scan_id", **options: object) -> DataFrame:
-    """by, content: the file of each scan as bytes, points in order of their ids; a scan is what one file can hold."""
+def encoded(points: DataFrame, kind: str = "pcd", by: str = "scan_id", piece: int | None = None, **options: object) -> DataFrame:
+    """by, content: the file of each scan as bytes, points in order of their ids; a scan is what one file can hold.
+
+    piece: by, piece, content: the file in pieces of so many bytes at most, in order, for files too large for one value. A scan
+    passes one task, in batches; its bytes wait until the header can say how many points there are, beyond `HELD` on disk.
+    """
     names = [c for c in points.columns if c in {NAMES.get(c, c) for c in CHANNELS} | {"ring"}]
-    grouped = points.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("point_id", *names))).alias("points"))
-    encode = {"pcd": pcd_bytes, "bin": bin_bytes}[kind]
+    if kind == "pcd":
+        head = lambda n: pcd_head(names, n, **{k: v for k, v in options.items() if k != "precision"})
+        body = lambda columns: pcd_body(columns, **{k: v for k, v in options.items() if k != "viewpoint"})
+    else:
+        head, body = {"bin": (lambda n: b"", lambda columns: bin_bytes(columns, **options))}[kind]
+    out = [by, *["piece"] * (piece is not None), "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [encode({c: np.array([p[c] for p in rows.as_py()]) for c in names}, **options) for rows in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=[by, "content"])
-
-    return grouped.mapInArrow(run, f"{by} {points.schema[by].dataType.simpleString()}, content binary")
+        def closed() -> Iterator[pa.RecordBatch]:
+            for k, content in cut(head(n), held, piece):
+                yield pa.RecordBatch.from_arrays([key, *[pa.array([k], type=pa.int32())] * (piece is not None), pa.array([content], type=pa.binary())], names=out)
+            held.close()
+
+        held = None
+        for fresh, rows in runs(batches):
+            if fresh:
+                if held:
+                    yield from closed()
+                held, n, key = spooled(), 0, rows.column(0).slice(0, 1)
+            held.write(body({c: rows.column(c).to_numpy(zero_copy_only=False) for c in names}))
+            n += len(rows)
+        if held:
+            yield from closed()
+
+    return in_order(points, by, names).mapInArrow(run, f"{by} {points.schema[by].dataType.simpleString()}, {'piece int, ' if piece is not None else ''}content binary")
 
 
 def write_files(files: DataFrame, folder: str) -> None:

@@ -25,6 +25,33 @@ def test_bin_cut_short(spark, tmp_path):
     assert clouds.read_kitti(spark, str(path)).count() == 3
 
 
+@pytest.mark.parametrize("kind,options", [("pcd", {}), ("pcd", {"binary": False, "precision": 9}), ("bin", {"ring": True})])
+def test_files_in_pieces_are_the_files_and_cut_anywhere(spark, kind, options):
+    points = spark.range(500).select((F.col("id") % 3).cast("int").alias("scan_id"), (500 - F.col("id")).alias("point_id"), *[(F.col("id") * k).cast("double").alias(c) for k, c in enumerate("xyz")], F.lit(0.25).alias("intensity"), F.col("id").cast("int").alias("ring" if kind == "bin" else "color"))
+    read = (lambda df: clouds.decoded_bin(df, 5, ring=4)) if kind == "bin" else clouds.decoded_pcd
+    named = lambda df: df.withColumnRenamed("scan_id", "path").withColumn("path", F.col("path").cast("string"))
+    whole = named(clouds.encoded(points, kind, **options))
+    pieces = named(clouds.encoded(points, kind, piece=101, **options))
+    files = {r["path"]: r["content"] for r in whole.collect()}
+    found = pieces.orderBy("path", "piece").collect()
+    assert len(found) > 60 and max(len(r["content"]) for r in found) == 101
+    assert files == {k: b"".join(r["content"] for r in found if r["path"] == k) for k in files}
+    once, again = (sorted(map(tuple, read(df).collect()), key=lambda r: r[:2]) for df in (whole, pieces))
+    assert once == again and len(once) == 500 and [(*r[:2], r[3]) for r in once[:2]] == [("0", 0, 498.0), ("0", 1, 495.0)]
+    with pytest.raises(Exception, match="does not follow"):
+        read(pieces.where("piece <> 1")).count()
+
+
+def test_scans_pass_in_batches_not_as_one_value(spark):
+    from groundswell.sources import messages, pieces
+
+    p = spark.range(100_000).select(F.lit(1).alias("scan_id"), F.col("id").alias("point_id"), *[F.col("id").cast("double").alias(c) for c in "xyz"])
+    for made in (clouds.encoded(p, piece=pieces.PIECE), clouds.encoded(p, binary=False, piece=pieces.PIECE), messages.encoded(p, piece=pieces.PIECE)):
+        assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+        size = F.max(F.octet_length("content" if "content" in made.columns else "data"))
+        assert made.agg(size).first()[0] == pieces.PIECE and made.count() > 1
+
+
 def test_trajectories(spark, tmp_path):
     path = tmp_path / "t.txt"
     path.write_text("# comment\n0 1 2 3 0 0 0 1\nbad line\n1 2 3 4 0 0 0 1\n")
