@@ -440,8 +440,7 @@ def pcd_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("pcd_ascii_round_trip", f"SELECT scan_id, point_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z, round(intensity, 4) AS intensity, color FROM ({NUMBERED_SQL})")
 def pcd_ascii_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = clouds.encoded(views.points(spark, sf_dir).select("scan_id", "point_id", "x", "y", "z", "intensity", "color"), "pcd", binary=False, precision=9)
-    back = clouds.decoded_pcd(made.select(F.col("scan_id").cast("string").alias("path"), "content"))
+    back = clouds.decoded_pcd(_files_of(spark, sf_dir, "pcd", "intensity", "color", binary=False, precision=9))
     return rounded(back.select(F.col("file").cast("int").alias("scan_id"), "point_id", "x", "y", "z", "intensity", "color"), 4)
 
 
