@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import COVARIANCE, Rigid, robust_weight, rotated_covariance, se3_exp, transformed
 from ..plans.tables import stored
-from .spatial import within
+from .spatial import closest
 from .voxel import VOXEL, voxel_distributions, voxelled
 
 
@@ -48,7 +48,7 @@ P, Q, N = ("x", "y", "z"), ("qx", "qy", "qz"), ("qnx", "qny", "qnz")
 
 def correspondences(source: DataFrame, target: DataFrame, max_distance: float) -> DataFrame:
     """Each source point (x, y, z, columns) with its nearest target point within the distance (strictly): qx, qy, qz and its channels, q-named."""
-    near = within(source, target, max_distance, strict=True).groupBy("src_id").agg(F.min_by("dst_id", F.struct("dist_sq", "dst_id")).alias("dst_id"))
+    near = closest(source, target, max_distance)
     renamed = target.select(F.col("point_id").alias("dst_id"), *[F.col(c).alias(f"q{c}") for c in target.columns if c in (*P, "nx", "ny", "nz", *COVARIANCE)])
     return source.join(near, source["point_id"] == near["src_id"]).join(renamed, "dst_id")
 

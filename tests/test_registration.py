@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundswell.functions.geometry import Rigid, transformed
-from groundswell.operators import normals, register
+from groundswell.operators import normals, register, spatial
 
 
 def test_point_to_point_recovers_a_known_motion(spark):
@@ -66,3 +66,27 @@ def test_normals_of_planes_and_lone_points(spark):
     odd = normals.with_normals(p, 5, covariances=True).withColumn("cxy", F.when(F.col("point_id") == 3, float("nan")).otherwise(F.col("cxy")))
     mended = {r["point_id"]: r for r in normals.mended_covariances(odd).collect()}
     assert (mended[3]["cxx"], mended[3]["cxy"]) == (1e-3, 0.0) and mended[4]["cxx"] == pytest.approx(1.0)
+
+
+def crowded(spark, seed, n):
+    """Points of which half lie in a hundredth of the room, some at one place, some at the corners of a lattice."""
+    rng = np.random.default_rng(seed)
+    p = np.r_[rng.normal(0, 0.05, (n // 2, 3)), rng.normal(0, 2.0, (n // 2, 3)), np.full((40, 3), 0.25), np.stack(np.meshgrid(*[[-1.0, -0.5, 0.0, 0.5]] * 3), -1).reshape(-1, 3)]
+    order = rng.permutation(len(p))
+    return p, order, spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(order, p, strict=True)], "point_id long, x double, y double, z double")
+
+
+def test_nearest_points_are_exact_and_few_are_looked_at(spark):
+    p, ids, target = crowded(spark, 3, 1500)
+    q, own, source = crowded(spark, 4, 1500)
+    d2 = sum((q[:, None, k] - p[None, :, k]) ** 2 for k in range(3))
+    first = {int(i): int(ids[np.lexsort((ids, row))[0]]) for i, row in zip(own, d2, strict=True) if row.min() < 1.0}
+    got = spatial.closest(source, target, 1.0)
+    assert {r["src_id"]: r["dst_id"] for r in got.collect()} == first and len(first) < len(q)
+    assert spatial.candidates(source, target, 1.0).count() < (d2 < 1).sum() / 5  # all pairs within the distance were made before
+    want = {(int(i), r + 1, int(ids[j])) for i, row in zip(own, d2, strict=True) for r, j in enumerate(np.lexsort((ids, row))[:7])}
+    assert {(r["src_id"], r["rank"], r["dst_id"]) for r in spatial.nearest(source, target, 7).collect()} == want
+    bounded = {w for w in want if d2[list(own).index(w[0]), list(ids).index(w[2])] <= 0.09}
+    assert {(r["src_id"], r["rank"], r["dst_id"]) for r in spatial.nearest(source, target, 7, max_distance=0.3).collect()} == bounded
+    begun = spatial.begun(source, target, 7, 1.0).groupBy("level").count().collect()
+    assert max(r["level"] for r in begun) >= 3 and min(r["level"] for r in begun) == 0
